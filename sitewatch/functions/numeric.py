@@ -42,3 +42,8 @@ def unit_or_std(std: Column, tolerance: float = 1e-12) -> Column:
     """A spread to divide by: missing, non-finite or vanishing spread becomes 1."""
     usable = is_finite(std) & (std > F.lit(tolerance))
     return F.when(usable, std).otherwise(F.lit(1.0))
+
+
+def round_to_int(value: Column) -> Column:
+    """Whole number nearest to the value, halves to the even neighbour."""
+    return F.bround(value, 0).cast("int")

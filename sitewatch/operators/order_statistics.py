@@ -127,28 +127,35 @@ def quantile(df: DataFrame, value: str, q: float, method: str = LINEAR) -> DataF
     return grouped_quantiles(df, [], value, {"quantile": (q, method)})
 
 
-def average_ranks(df: DataFrame, score: str, rank: str, descending: bool = True) -> DataFrame:
-    """Add the average rank of ``score``, cut to an integer; null scores get null.
+def fractional_ranks(df: DataFrame, score: str, rank: str, descending: bool = True) -> DataFrame:
+    """Add the average rank of ``score``; null scores get null.
 
     Ties share the mean of their positions. Only distinct scores are ordered, bin
     by bin; the bin totals are bounded, so they alone go through one task.
     """
     hist = _histogram(df, [], score)
-    sign = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+
+    def order(name: str) -> Column:
+        return F.desc(name) if descending else F.asc(name)
+
     bins = hist.groupBy("_bin").agg(F.sum("_count").alias("_in_bin"))
     ahead = bins.select(
         "_bin",
-        (F.sum("_in_bin").over(Window.orderBy(sign("_bin"))) - F.col("_in_bin")).alias("_ahead"),
+        (F.sum("_in_bin").over(Window.orderBy(order("_bin"))) - F.col("_in_bin")).alias("_ahead"),
     )
-    inside = Window.partitionBy("_bin").orderBy(sign("_value"))
+    inside = Window.partitionBy("_bin").orderBy(order("_value"))
     position = (
         F.col("_ahead")
         + F.sum("_count").over(inside)
         - F.col("_count")
         + (F.col("_count") + 1) / F.lit(2)
     )
-    ranked = hist.join(F.broadcast(ahead), "_bin").select(
-        "_value", F.floor(position).cast("int").alias(rank)
-    )
+    ranked = hist.join(F.broadcast(ahead), "_bin").select("_value", position.alias(rank))
     key = F.col(score).cast("double") + F.lit(0.0)
     return df.withColumn("_value", F.when(~F.isnan(key), key)).join(ranked, "_value", "left").drop("_value")
+
+
+def average_ranks(df: DataFrame, score: str, rank: str, descending: bool = True) -> DataFrame:
+    """Average rank cut to an integer, as published."""
+    ranked = fractional_ranks(df, score, rank, descending)
+    return ranked.withColumn(rank, F.floor(rank).cast("int"))
