@@ -1 +1,19 @@
 """Registered queries and their SQL equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sitewatch.catalog import cleaning
+
+_PARTS = (cleaning,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for part in _PARTS for name, text in part.ORACLES.items()}

@@ -112,7 +112,7 @@ def exclude_units(df: DataFrame, settings: CleaningSettings = CleaningSettings()
 
 def parse_censored(df: DataFrame, settings: CleaningSettings = CleaningSettings()) -> DataFrame:
     """Add ``is_left_censored`` and ``value``; "<x" counts as a share of x."""
-    text = F.trim(F.col("result_raw").cast("string"))
+    text = F.btrim(F.col("result_raw").cast("string"), F.lit(" \t\r\n\f\x0b"))
     censored = text.startswith("<")
     number = F.when(
         censored, parse_number(F.substring(text, 2, 1_000_000)) * settings.censored_factor
