@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewatch.catalog import cleaning
+from sitewatch.catalog import cleaning, scoring
 
-_PARTS = (cleaning,)
+_PARTS = (cleaning, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitewatch.config import FeatureSettings
 from sitewatch.fixtures import view, with_views
 from sitewatch.operators import cleaning, features
+from sitewatch.operators.checkpoints import cut
 from sitewatch.plans.fingerprint import Signatures, build_signatures
 from sitewatch.operators.statistics import site_determinand_stats
 
@@ -49,7 +50,8 @@ def signatures(spark: SparkSession, sf: str) -> Signatures:
 
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    return features.impute_median(signatures(spark, sf).grid).select("site_id", "feature", "value")
+    filled = features.impute_median(signatures(spark, sf).grid)
+    return cut(filled.select("site_id", "feature", "value"), "imputed")
 
 
 # --- the same in SQL ----------------------------------------------------------------

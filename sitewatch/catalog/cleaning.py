@@ -22,6 +22,7 @@ from sitewatch.catalog.base import (
 )
 from sitewatch.fixtures import view
 from sitewatch.operators import cleaning, features, statistics
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.feed import union_by_name
 
 _RAW = "site_id, determinand_code, determinant, unit, sample_material, result_raw, sample_datetime"
@@ -95,19 +96,23 @@ def choose_panel_features(spark, sf):
 
 
 def choose_features_by_coverage(spark, sf):
-    return features.choose_features_by_coverage(stats(spark, sf), FEATURES).select(
+    return features.choose_features_by_coverage(_stats_table(spark, sf), FEATURES).select(
         "determinand_code", "unit", "n_sites", r("median_n_per_site"), "feature"
     )
 
 
 def select_features_join(spark, sf):
-    table = stats(spark, sf)
+    table = _stats_table(spark, sf)
     chosen = features.choose_features_by_coverage(table, FEATURES)
     return features.select_features_join(table, chosen).select(
         "site_id", "determinand_code", "unit", "n", r("median")
     )
 
 
+def _stats_table(spark, sf):
+    return cut(stats(spark, sf), "stats")
+
+
 def _labelled(spark, sf):
     sites = view(spark, sf, "fx_sites").select("site_id", "site_label", "region", "lat", "lon")
     return observations(spark, sf).join(sites, "site_id")
@@ -139,7 +144,7 @@ def site_meta_join(spark, sf):
 
 
 def signature_matrix(spark, sf):
-    selected = features.select_features(stats(spark, sf), FEATURES)
+    selected = features.select_features(_stats_table(spark, sf), FEATURES)
     matrix = features.signature_matrix(features.signature_long(selected), list(PANEL.values()))
     return matrix.select(
         "site_id",
@@ -152,7 +157,9 @@ def signature_matrix(spark, sf):
 
 
 def prune_features(spark, sf):
-    long = features.signature_long(features.select_features(stats(spark, sf), FEATURES))
+    long = cut(
+        features.signature_long(features.select_features(_stats_table(spark, sf), FEATURES)), "signatures"
+    )
     return features.prune_features(long, 0.96).select("feature", "n_present", r("coverage"))
 
 

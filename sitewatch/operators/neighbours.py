@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sitewatch import constants as C
 from sitewatch.functions import geo
 from sitewatch.functions.numeric import is_finite
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.skew import hot_keys, split_hot_join
 
 MAX_LEVEL = 27  # side of the root square / 2**27: about 30 cm for the globe
@@ -99,16 +100,18 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         .where(F.col("_nth") <= k + 1)
         .select("site_id", "px", "py")
     )
+    members = cut(members, "members")
     positions = members.groupBy("px", "py").agg(
         F.count(F.lit(1)).alias("_kept"), F.min("site_id").alias("pid")
     )
+    positions = cut(positions, "positions")
 
     cx, cy = space.cell(F.col("level"))
     nested = positions.withColumn(
         "level", F.explode(F.array(*[F.lit(x) for x in levels]))
     ).select("pid", "px", "py", "_kept", "level", cx.alias("cx"), cy.alias("cy"))
     keys = ["level", "cx", "cy"]
-    hot = hot_keys(nested, keys, SPLIT_ROWS)
+    hot = cut(hot_keys(nested, keys, SPLIT_ROWS), "hot")
     full = (
         nested.groupBy(*keys)
         .agg(F.sum("_kept").alias("_held"))
@@ -124,6 +127,7 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
     queries = positions.join(homes, "pid", "left").select(
         "pid", "px", "py", F.coalesce("level", F.lit(0)).alias("level")
     )
+    queries = cut(queries, "queries")
     stored = nested.select(
         *keys, F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"), "_kept"
     )
@@ -291,6 +295,7 @@ def vector_neighbours(vectors: DataFrame, k: int, column: str = "vector") -> Dat
     placed = rows.mapInPandas(
         _nearest_pivot(pivots), "site_id string, vector array<double>, pivot int, pivot_distance double"
     )
+    placed = cut(placed, "placed")
     close = Window.partitionBy("pivot").orderBy("pivot_distance", "site_id")
     nearest = (
         placed.select("pivot", "pivot_distance", "site_id")
@@ -324,7 +329,7 @@ def vector_neighbours(vectors: DataFrame, k: int, column: str = "vector") -> Dat
         "vector",
     )
     offered = (
-        rows.mapInPandas(
+        placed.select("site_id", "vector").mapInPandas(
             _reachable_pivots(pivots, limits), "site_id string, vector array<double>, pivot int"
         )
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(part_count, F.col("pivot") + 1) - 1)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatch.config import PeerSettings
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.neighbours import (
     pair_distances,
     planar_neighbours,
@@ -30,7 +31,9 @@ def peer_diagnostics(
     vec = complete.select("site_id", "vector")
     k = settings.final_k
     chem = vector_neighbours(vec, k)
-    broad = planar_neighbours(complete.select("site_id", "x", "y"), max(settings.broad_k, k))
+    broad = cut(
+        planar_neighbours(complete.select("site_id", "x", "y"), max(settings.broad_k, k)), "broad_edges"
+    )
     measured = pair_distances(broad, vec).join(
         broad.select("site_id", "peer_id", "rank"), ["site_id", "peer_id"]
     )

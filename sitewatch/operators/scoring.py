@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitewatch import constants as C
 from sitewatch.config import ScoringSettings
 from sitewatch.functions.numeric import null_if_nan, unit_or_std
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.neighbours import geographic_neighbours
 from sitewatch.operators.order_statistics import average_ranks, quantile
 
@@ -123,7 +124,7 @@ def anomaly_drivers(z: DataFrame, threshold: float = 2.0) -> DataFrame:
 
 def geo_anomaly(long: DataFrame, sites: DataFrame, k: int = 20) -> DataFrame:
     """RMS-z of each located site against its k nearest sites on the map."""
-    edges = geographic_neighbours(sites, k)
+    edges = cut(geographic_neighbours(sites, k), "geo_edges")
     values = long.select("site_id", "feature", null_if_nan(F.col("value")).alias("value"))
     around = (
         edges.select("site_id", "peer_id")
@@ -143,7 +144,7 @@ def geo_anomaly(long: DataFrame, sites: DataFrame, k: int = 20) -> DataFrame:
     located = reach.join(scores, "site_id", "left").withColumn(
         "geo_anomaly_score", F.coalesce("geo_anomaly_score", F.lit(0.0))
     )
-    ranked = average_ranks(located, "geo_anomaly_score", "geo_anomaly_rank")
+    ranked = average_ranks(cut(located, "geo_scores"), "geo_anomaly_score", "geo_anomaly_rank")
     return sites.select("site_id").join(ranked, "site_id", "left")
 
 
@@ -155,7 +156,7 @@ def score_sites(
     ``sites`` needs ``site_id, lat, lon, wfd_type``. The geographic method replaces
     score and rank; drivers and labels stay those of the typology comparison.
     """
-    z = peer_zscores(long, sites, settings.min_group_size)
+    z = cut(peer_zscores(long, sites, settings.min_group_size), "zscores")
     scores = anomaly_score(z)
     if settings.method == "geographic_neighbours":
         geo = geo_anomaly(long, sites, settings.geographic_k)
@@ -165,6 +166,6 @@ def score_sites(
         scores = scores.join(geo_anomaly(long, sites, settings.geographic_k), "site_id", "left")
     else:
         log.warning("unknown scoring method %r: typology peers are used", settings.method)
-    ranked = anomaly_rank(scores)
+    ranked = anomaly_rank(cut(scores, "scores"))
     flagged = flag_anomalies(ranked, settings.flag_percentile)
     return flagged.join(anomaly_drivers(z, settings.notable_z), "site_id", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.config import FeatureSettings
 from sitewatch.operators import features as feat
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.statistics import site_determinand_stats
 
 
@@ -25,9 +26,11 @@ def build_signatures(stats: DataFrame, settings: FeatureSettings) -> Signatures:
     """From statistics to the pruned grid.
 
     The feature names come to the driver once: pruning sites needs their number and
-    the grid their list.
+    the grid their list. Statistics and signatures are read several times, so they
+    are written first.
     """
-    long = feat.signature_long(feat.select_features(stats, settings))
+    stats = cut(stats, "stats")
+    long = cut(feat.signature_long(feat.select_features(stats, settings)), "signatures")
     kept = feat.prune_features(long, settings.min_feature_coverage)
     names = sorted(r["feature"] for r in kept.select("feature").collect())
     if not names:
@@ -35,6 +38,7 @@ def build_signatures(stats: DataFrame, settings: FeatureSettings) -> Signatures:
     inside = long.where(F.col("feature").isin(*names))
     sites = feat.prune_sites(inside, len(names), settings.max_missing_features)
     grid = feat.complete_grid(inside.join(sites.select("site_id"), "site_id", "left_semi"), names)
+    grid = cut(grid, "grid")
     return Signatures(grid, sites, names)
 
 
