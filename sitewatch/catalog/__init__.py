@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewatch.catalog import cleaning, scoring
+from sitewatch.catalog import cleaning, pressures, scoring
 
-_PARTS = (cleaning, scoring)
+_PARTS = (cleaning, scoring, pressures)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

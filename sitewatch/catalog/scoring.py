@@ -296,9 +296,9 @@ FROM drivers_text"""),
 SELECT site_id, round(geo_anomaly_score, 5) AS geo_anomaly_score,
        round(geo_peer_distance_km, 5) AS geo_peer_distance_km, geo_anomaly_rank FROM geo_ranked"""),
     "score_sites": _sql("""
-SELECT f.site_id, round(f.anomaly_score, 5) AS anomaly_score, anomaly_rank, is_flagged,
-       round(geo_anomaly_score, 5) AS geo_anomaly_score, geo_anomaly_rank, score_reference
-FROM flagged f JOIN geo_ranked USING (site_id)"""),
+SELECT f.site_id, round(e.exact_score, 5) AS anomaly_score, anomaly_rank, is_flagged,
+       round(geo_anomaly_score, 5) AS geo_anomaly_score, geo_anomaly_rank, f.score_reference
+FROM flagged f JOIN geo_ranked USING (site_id) JOIN raw_scores e USING (site_id)"""),
     "score_sites_geographic": _sql("""
 SELECT f.site_id, round(geo_anomaly_score, 5) AS anomaly_score, geo_anomaly_rank AS anomaly_rank,
        geo_anomaly_score >= (SELECT quantile_cont(geo_anomaly_score, 0.95) FROM geo_ranked) AS is_flagged,

@@ -116,18 +116,32 @@ def linear_grid_to_latlon(easting: Column, northing: Column) -> tuple[Column, Co
 
 
 def ring_contains(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting over an array of ``struct<x,y>`` vertices."""
+    """Even-odd ray casting over an array of ``struct<x,y>`` vertices.
+
+    A point on the ring itself is not inside.
+    """
     size = F.size(ring)
+
+    def crossing(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        on_edge = (
+            (dx * (y - a["y"]) == dy * (x - a["x"]))
+            & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]))
+            & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        )
+        passes = ((a["y"] > y) != (b["y"] > y)) & (
+            x < dx * (y - a["y"]) / F.nullif(dy, F.lit(0.0)) + a["x"]
+        )
+        return F.when(on_edge, F.lit(None).cast("int")).when(passes, F.lit(1)).otherwise(F.lit(0))
+
     edges = F.zip_with(
         ring,
         F.concat(F.slice(ring, 2, F.greatest(size - 1, F.lit(0))), F.slice(ring, 1, 1)),
-        lambda a, b: F.when(
-            ((a["y"] > y) != (b["y"] > y))
-            & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]),
-            F.lit(1),
-        ).otherwise(F.lit(0)),
+        crossing,
     )
-    return F.aggregate(edges, F.lit(0), lambda acc, hit: acc + hit) % 2 == 1
+    # One edge through the point makes the sum null, which is not inside.
+    total = F.aggregate(edges, F.lit(0), lambda acc, hit: acc + hit)
+    return F.coalesce(total % 2 == 1, F.lit(False))
 
 
 def ring_centroid(ring: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitewatch import constants as C
 from sitewatch.functions import geo
 from sitewatch.functions.numeric import is_finite
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.skew import split_hot_join
 
 
@@ -143,9 +144,12 @@ def nearest_centroid_join(
     columns stay null, so a radius join on the centroids decides the match exactly.
     """
     attributes = [c for c in polygons.columns if c != "ring"]
+    joined = cut(joined, "in_polygons")
     centres = polygons.select(
         "water_body_id", geo.ring_centroid(F.col("ring")).alias("_c")
     ).select("water_body_id", F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat"))
+    # Written, or the centroid sum would be repeated in every cell expression.
+    centres = cut(centres, "centroids")
     unmatched = joined.where(F.col("water_body_id").isNull()).select("site_id", "lat", "lon")
     nearest = (
         radius_join(unmatched, centres, max_distance_m, "water_body_id")
