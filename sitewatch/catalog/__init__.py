@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewatch.catalog import cleaning, pressures, scoring
+from sitewatch.catalog import cleaning, feed, pressures, scoring
 
-_PARTS = (cleaning, scoring, pressures)
+_PARTS = (cleaning, scoring, pressures, feed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
