@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +39,60 @@ def r(column: str | Column, digits: int = DIGITS) -> Column:
     return out.alias(name) if name else out
 
 
+_LAYERS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def layer(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A layer table, written at first use in a session and read by every later query.
+
+    This is how the release job works too: each layer is written once and the next
+    steps read it.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _LAYERS:
+        _LAYERS[key] = cut(build(), name)
+    return _LAYERS[key]
+
+
+def forget_layers() -> None:
+    """Make the next query write its layers anew."""
+    _LAYERS.clear()
+    _FEATURE_LISTS.clear()
+
+
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.clean_observations(view(spark, sf, "fx_obs_raw"))
 
 
+def clean_layer(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["site_id", "determinand_code", "determinant", "unit", "value", "sample_dt", "year"]
+    return layer(spark, sf, "observations", lambda: observations(spark, sf).select(*columns))
+
+
 def stats(spark: SparkSession, sf: str) -> DataFrame:
-    return site_determinand_stats(observations(spark, sf), FEATURES)
+    return site_determinand_stats(clean_layer(spark, sf), FEATURES)
+
+
+def stats_layer(spark: SparkSession, sf: str) -> DataFrame:
+    return layer(spark, sf, "stats", lambda: stats(spark, sf))
 
 
 def signatures(spark: SparkSession, sf: str) -> Signatures:
-    return build_signatures(stats(spark, sf), FEATURES)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FEATURE_LISTS:
+        _FEATURE_LISTS[key] = build_signatures(stats_layer(spark, sf), FEATURES)
+    return _FEATURE_LISTS[key]
+
+
+_FEATURE_LISTS: dict[tuple[str, str], Signatures] = {}
 
 
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    filled = features.impute_median(signatures(spark, sf).grid)
-    return cut(filled.select("site_id", "feature", "value"), "imputed")
+    def build() -> DataFrame:
+        filled = features.impute_median(signatures(spark, sf).grid)
+        return filled.select("site_id", "feature", "value")
+
+    return layer(spark, sf, "imputed", build)
 
 
 # --- the same in SQL ----------------------------------------------------------------

@@ -19,6 +19,7 @@ from sitewatch.catalog.base import (
     signatures,
     sql,
     stats,
+    stats_layer,
 )
 from sitewatch.fixtures import view
 from sitewatch.operators import cleaning, features, statistics
@@ -92,7 +93,7 @@ def site_determinand_stats(spark, sf):
 
 
 def choose_panel_features(spark, sf):
-    return features.choose_panel_features(stats(spark, sf), PANEL)
+    return features.choose_panel_features(_stats_table(spark, sf), PANEL)
 
 
 def choose_features_by_coverage(spark, sf):
@@ -110,7 +111,7 @@ def select_features_join(spark, sf):
 
 
 def _stats_table(spark, sf):
-    return cut(stats(spark, sf), "stats")
+    return stats_layer(spark, sf)
 
 
 def _labelled(spark, sf):

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitewatch.catalog.base import PANEL, observations, r, sql
+from sitewatch.catalog.base import PANEL, clean_layer, layer, r, sql
 from sitewatch.catalog.pressures import CTES as PRESSURE_CTES
 from sitewatch.catalog.pressures import _pressure as pressure_of
 from sitewatch.catalog.scoring import CTES as SCORING_CTES
-from sitewatch.catalog.scoring import DRIVER_Z, scored_inputs
+from sitewatch.catalog.scoring import DRIVER_Z, _rounded_scores, scored_inputs, zscore_layer
 from sitewatch.config import ConfidenceSettings
 from sitewatch.constants import DETERMINAND_CONTEXT, HEADLINES
 from sitewatch.operators import feed, narrative, pressures, scoring, statistics
-from sitewatch.operators.checkpoints import cut
 
 CONFIDENCE = ConfidenceSettings(well_visits=30, well_year=2001, moderate_visits=20, moderate_year=2000)
 FEATURE_LIST = sorted(PANEL.values())
@@ -32,17 +31,19 @@ _DERIVED = {
 
 def scored(spark, sf):
     """Scored, flagged and explained sites, with their long z table."""
-    long, sites = scored_inputs(spark, sf)
-    z = cut(scoring.peer_zscores(long, sites), "zscores")
-    scores = scoring.anomaly_score(z).withColumn("anomaly_score", F.round("anomaly_score", 9))
-    flagged = scoring.flag_anomalies(scoring.anomaly_rank(cut(scores, "scores")))
-    z9 = z.withColumn("z", F.round("z", 9))
+    z9 = zscore_layer(spark, sf).withColumn("z", F.round("z", 9))
+    return layer(spark, sf, "scored", lambda: _build_scored(spark, sf, z9)), z9
+
+
+def _build_scored(spark, sf, z9):
+    _, sites = scored_inputs(spark, sf)
+    flagged = scoring.flag_anomalies(scoring.anomaly_rank(_rounded_scores(spark, sf)))
     explained = flagged.join(scoring.anomaly_drivers(z9, DRIVER_Z), "site_id")
-    coverage = statistics.site_coverage(observations(spark, sf))
+    coverage = statistics.site_coverage(clean_layer(spark, sf))
     table = explained.join(sites, "site_id").join(coverage, "site_id")
     derived = [F.expr(text).alias(name) for name, text in _DERIVED.items()]
     kept = [c for c in table.columns if c not in _DERIVED]
-    return cut(table.select(*kept, *derived), "scored"), z9
+    return table.select(*kept, *derived)
 
 
 def _feed(spark, sf):
@@ -179,7 +180,7 @@ def feed_filter_driver(spark, sf):
 
 def feed_header(spark, sf):
     header = feed.feed_header(
-        _feed(spark, sf), statistics.data_period(observations(spark, sf)), "typology_peers", FEATURE_LIST, PANEL
+        _feed(spark, sf), statistics.data_period(clean_layer(spark, sf)), "typology_peers", FEATURE_LIST, PANEL
     )
     return header.select(
         "data_period_start", "data_period_end", "total_sites", "flagged_sites", "cross_type_sites",
@@ -422,7 +423,7 @@ SELECT site_id, CAST(to_json({{
   'peer_group': coalesce(wfd_type, score_reference), 'peer_group_size': score_peer_group_size, 'wfd_status': 'Not available',
   'flagged_determinands': CASE WHEN is_flagged THEN (SELECT list({{'name': name, 'direction': direction, 'description': description}} ORDER BY position)
      FROM driver_rows d WHERE d.site_id = told.site_id) ELSE [] END,
-  'cross_typology_match': coalesce(concat(CAST(floor(peer_agreement_ratio * 5 + 0.5) AS INTEGER) || ' out of 5'), 'Not available'),
+  'cross_typology_match': coalesce(CAST(floor(peer_agreement_ratio * 5 + 0.5) AS INTEGER) || ' out of 5', 'Not available'),
   'cso_discharges': 0, 'cso_total_hours': CAST(0 AS DOUBLE),
   'regulated_discharge_points': {{'sewage_works': 0, 'storm_overflows': 0, 'industrial': 0}},
   'nearest_facility': 'Not available', 'waterbody': coalesce(water_body_name, 'Not available'), 'region': region,

@@ -6,11 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from sitewatch.catalog.base import imputed, r, sql
+from sitewatch.catalog.base import imputed, layer, r, sql
 from sitewatch.config import PeerSettings, ScoringSettings
 from sitewatch.fixtures import view
 from sitewatch.operators import neighbours, peers, scoring
-from sitewatch.operators.checkpoints import cut
 
 PEERS = PeerSettings(shortlist_k=20, final_k=5, broad_k=20)
 GEO_K = 20
@@ -30,6 +29,10 @@ def zscores(spark, sf):
     return scoring.peer_zscores(long, sites)
 
 
+def zscore_layer(spark, sf):
+    return layer(spark, sf, "zscores", lambda: zscores(spark, sf))
+
+
 def peer_zscores(spark, sf):
     return zscores(spark, sf).select(
         "site_id", "feature", r("z"), "score_reference", "score_peer_group_size"
@@ -37,15 +40,18 @@ def peer_zscores(spark, sf):
 
 
 def anomaly_score(spark, sf):
-    return scoring.anomaly_score(zscores(spark, sf)).select(
+    return scoring.anomaly_score(zscore_layer(spark, sf)).select(
         "site_id", r("anomaly_score"), "score_reference", "score_peer_group_size"
     )
 
 
 def _rounded_scores(spark, sf):
     """Scores at nine decimals, so that ties and thresholds are engine-neutral."""
-    scores = scoring.anomaly_score(zscores(spark, sf))
-    return cut(scores.withColumn("anomaly_score", F.round("anomaly_score", 9)), "scores")
+    def build():
+        scores = scoring.anomaly_score(zscore_layer(spark, sf))
+        return scores.withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+    return layer(spark, sf, "scores", build)
 
 
 def anomaly_rank(spark, sf):
@@ -69,7 +75,7 @@ def anomaly_rank_ties(spark, sf):
 
 
 def anomaly_drivers(spark, sf):
-    z = zscores(spark, sf).withColumn("z", F.round("z", 9))
+    z = zscore_layer(spark, sf).withColumn("z", F.round("z", 9))
     return scoring.anomaly_drivers(z, DRIVER_Z).select(
         "site_id", "anomaly_drivers", "top_anomaly_driver", r("top_anomaly_driver_z")
     )

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sitewatch import constants as C
 from sitewatch.config import CleaningSettings
-from sitewatch.functions.numeric import parse_number
+from sitewatch.functions.numeric import NUMBER_PATTERN
 
 _TEXT_COLUMNS = ("determinand_code", "sample_material", "determinant", "unit")
+BLANKS = " \t\r\n\f\x0b"
+RESULT_PATTERN = r"^<?\s*(" + NUMBER_PATTERN.strip("^$") + r")\s*$"
 STAGES = (
     "after_rename",
     "after_material",
@@ -111,16 +113,21 @@ def exclude_units(df: DataFrame, settings: CleaningSettings = CleaningSettings()
 
 
 def parse_censored(df: DataFrame, settings: CleaningSettings = CleaningSettings()) -> DataFrame:
-    """Add ``is_left_censored`` and ``value``; "<x" counts as a share of x."""
-    text = F.btrim(F.col("result_raw").cast("string"), F.lit(" \t\r\n\f\x0b"))
+    """Add ``is_left_censored`` and ``value``; "<x" counts as a share of x.
+
+    The text is matched and cast once: later filters on ``value`` repeat this
+    expression, so it is kept small enough for compiled code.
+    """
+    text = F.btrim(F.col("result_raw").cast("string"), F.lit(BLANKS))
     censored = text.startswith("<")
-    number = F.when(
-        censored, parse_number(F.substring(text, 2, 1_000_000)) * settings.censored_factor
-    ).otherwise(parse_number(text))
-    clamped = F.when((F.col("determinant") == C.CLAMPED_DETERMINAND) & (number < 0), F.lit(0.0))
-    return df.withColumn("is_left_censored", censored).withColumn(
-        "value", clamped.otherwise(number)
+    number = F.regexp_extract(text, RESULT_PATTERN, 1).try_cast("double")
+    below_zero = (F.col("determinant") == C.CLAMPED_DETERMINAND) & text.rlike("^<?-")
+    share = (
+        F.when(below_zero, F.lit(0.0))
+        .when(censored, F.lit(float(settings.censored_factor)))
+        .otherwise(F.lit(1.0))
     )
+    return df.withColumn("is_left_censored", censored).withColumn("value", number * share + F.lit(0.0))
 
 
 def physical_range_filter(df: DataFrame) -> DataFrame:

@@ -111,7 +111,8 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         "level", F.explode(F.array(*[F.lit(x) for x in levels]))
     ).select("pid", "px", "py", "_kept", "level", cx.alias("cx"), cy.alias("cy"))
     keys = ["level", "cx", "cy"]
-    hot = cut(hot_keys(nested, keys, SPLIT_ROWS), "hot")
+    crowded = n > SPLIT_ROWS
+    hot = cut(hot_keys(nested, keys, SPLIT_ROWS), "hot") if crowded else None
     full = (
         nested.groupBy(*keys)
         .agg(F.sum("_kept").alias("_held"))
@@ -119,7 +120,7 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         .select(*keys)
     )
     homes = (
-        split_hot_join(full, nested, keys, "pid", hot=hot)
+        split_hot_join(full, nested, keys, "pid", SPLIT_ROWS, hot, n)
         .groupBy("pid")
         .agg(F.max("level").alias("level"))
     )
@@ -133,13 +134,13 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
     )
 
     at_home = queries.select("*", cx.alias("cx"), cy.alias("cy"))
-    inside = split_hot_join(at_home, stored, keys, "qid", hot=hot).withColumn(
+    inside = split_hot_join(at_home, stored, keys, "qid", SPLIT_ROWS, hot, n).withColumn(
         "_d", space.distance()
     )
     reach = _kth_distance(inside, k)
     cover = _cover(queries.join(reach, "pid", "left"), space, lowest)
     near = (
-        split_hot_join(cover, stored, keys, "qid", hot=hot)
+        split_hot_join(cover, stored, keys, "qid", SPLIT_ROWS, hot, n)
         .withColumn("_d", space.distance())
         .where((F.col("_d") <= F.col("_reach")) & (F.col("pid") != F.col("qid")))
     )
@@ -158,9 +159,9 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         .agg(F.array_sort(F.collect_list(F.struct("distance", "peer_id"))).alias("_peers"))
     )
     own = split_hot_join(
-        positions.select("px", "py", "pid"), points, ["px", "py"], "site_id"
+        positions.select("px", "py", "pid"), points, ["px", "py"], "site_id", SPLIT_ROWS, None, n
     ).select("site_id", "pid")
-    listed = split_hot_join(offers, own, ["pid"], "site_id").select(
+    listed = split_hot_join(offers, own, ["pid"], "site_id", SPLIT_ROWS, None, n).select(
         "site_id",
         F.slice(F.filter("_peers", lambda p: p["peer_id"] != F.col("site_id")), 1, k).alias("_peers"),
     )

@@ -35,13 +35,17 @@ def split_hot_join(
     build_id: str,
     rows_per_split: int = 200_000,
     hot: DataFrame | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` in which hot keys of ``build`` are split.
 
     A hot key's build rows are spread over numbered splits by a hash of
     ``build_id``; a probe row with that key visits every split once. ``hot`` may be
-    passed where several joins share one build side.
+    passed where several joins share one build side. Where the caller knows that no
+    key can hold more than ``most_rows``, and that is little, nothing is split.
     """
+    if most_rows is not None and most_rows <= rows_per_split:
+        return probe.join(build, keys)
     hot = F.broadcast(hot_keys(build, keys, rows_per_split) if hot is None else hot)
     placed = build.join(hot, keys, "left").withColumn(
         "_split", F.pmod(F.xxhash64(build_id), F.coalesce("_splits", F.lit(1))).cast("int")

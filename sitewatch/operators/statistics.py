@@ -23,16 +23,7 @@ def site_determinand_stats(
     the alphabetically first one, so the result does not depend on row order.
     """
     inside = df.where(F.col("year").between(settings.year_start, settings.year_end))
-    moments = inside.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.min("determinant").alias("determinant"),
-        F.min("sample_dt").alias("dt_min"),
-        F.max("sample_dt").alias("dt_max"),
-    )
+    moments = _moments(inside)
     quantiles = grouped_quantiles(
         inside,
         GROUP,
@@ -51,6 +42,40 @@ def site_determinand_stats(
     )
 
 
+def _moments(inside: DataFrame) -> DataFrame:
+    """Counts, moments and ranges per group.
+
+    The name is a grouping key at first, which keeps the pass over all rows a hash
+    aggregate; a minimum over text would sort them. Names per group are then
+    merged, in nearly all cases one row each.
+    """
+    named = inside.groupBy(*GROUP, "determinant").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("value").alias("_k"),
+        F.avg("value").alias("_mean"),
+        (F.var_pop("value") * F.count("value")).alias("_m2"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.min("sample_dt").alias("dt_min"),
+        F.max("sample_dt").alias("dt_max"),
+    )
+    one = F.count(F.lit(1)) == 1
+    k = F.sum("_k")
+    total = F.sum(F.col("_mean") * F.col("_k"))
+    between = F.sum(F.col("_k") * F.col("_mean") * F.col("_mean")) - total * total / F.nullif(k, F.lit(0))
+    m2 = F.when(one, F.max("_m2")).otherwise(F.sum("_m2") + F.greatest(between, F.lit(0.0)))
+    return named.groupBy(*GROUP).agg(
+        F.sum("n").alias("n"),
+        F.when(one, F.max("_mean")).otherwise(total / F.nullif(k, F.lit(0))).alias("mean"),
+        F.when(k > 1, F.sqrt(m2 / (k - 1))).alias("std"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.min("determinant").alias("determinant"),
+        F.min("dt_min").alias("dt_min"),
+        F.max("dt_max").alias("dt_max"),
+    )
+
+
 def site_metadata(df: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
     """First known value of each site attribute; an absent attribute is null.
 

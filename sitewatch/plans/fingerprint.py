@@ -26,10 +26,9 @@ def build_signatures(stats: DataFrame, settings: FeatureSettings) -> Signatures:
     """From statistics to the pruned grid.
 
     The feature names come to the driver once: pruning sites needs their number and
-    the grid their list. Statistics and signatures are read several times, so they
-    are written first.
+    the grid their list. ``stats`` should be a written layer, as it is read more than
+    once; signatures are written here for the same reason.
     """
-    stats = cut(stats, "stats")
     long = cut(feat.signature_long(feat.select_features(stats, settings)), "signatures")
     kept = feat.prune_features(long, settings.min_feature_coverage)
     names = sorted(r["feature"] for r in kept.select("feature").collect())
@@ -43,4 +42,4 @@ def build_signatures(stats: DataFrame, settings: FeatureSettings) -> Signatures:
 
 
 def signatures_from_observations(obs: DataFrame, settings: FeatureSettings) -> Signatures:
-    return build_signatures(site_determinand_stats(obs, settings), settings)
+    return build_signatures(cut(site_determinand_stats(obs, settings), "stats"), settings)
