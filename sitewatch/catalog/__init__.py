@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewatch.catalog import cleaning, feed, pressures, scoring
+from sitewatch.catalog import cleaning, feed, gates, pressures, scoring
 
-_PARTS = (cleaning, scoring, pressures, feed)
+_PARTS = (cleaning, scoring, pressures, feed, gates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

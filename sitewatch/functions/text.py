@@ -65,19 +65,22 @@ def literal_map(pairs: dict[str, str]) -> Column:
 
 
 def replace_first(value: Column, old: str, new: str) -> Column:
-    at = F.locate(old, value)
-    return F.when(
-        at > 0, F.overlay(value, F.lit(new), at, F.lit(len(old)))
-    ).otherwise(value)
+    """Replace the first occurrence; refers to ``value`` once, so calls may nest."""
+    return F.regexp_replace(value, r"(?s)^(.*?)\Q" + old + r"\E", "$1" + new)
 
 
 def public_chemical_label(name: Column) -> Column:
     label = name
     for old, new in C.PUBLIC_LABELS:
         label = replace_first(label, old, new)
-    return F.when(label == "pH", label).otherwise(
-        F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1_000_000))
+    # A one-element array binds the label, which is used several times below.
+    cased = F.transform(
+        F.array(label),
+        lambda t: F.when(t == "pH", t).otherwise(
+            F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+        ),
     )
+    return F.element_at(cased, 1)
 
 
 def severity_band(score: Column) -> Column:
