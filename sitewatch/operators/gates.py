@@ -287,12 +287,12 @@ def gate_peer_coverage(scored: DataFrame, settings: GateSettings = GateSettings(
 
 
 def gate_readable(spark: SparkSession, path: str) -> DataFrame:
-    """The feed exists and every line of it parses; gives the number of entries."""
+    """The feed exists and every line parses and names a site; counts the entries."""
     try:
         lines = read_feed_lines(spark, path)
         counted = lines.agg(
             F.count(F.lit(1)).alias("entries"),
-            F.count_if(F.col("_corrupt").isNotNull()).alias("unreadable"),
+            F.count_if(F.col("_corrupt").isNotNull() | F.col("site_id").isNull()).alias("unreadable"),
         )
     except (AnalysisException, FileNotFoundError) as error:
         return _single(spark, OUTPUT, "readable", False, f"Cannot read {path}: {type(error).__name__}")
