@@ -97,6 +97,19 @@ def complete_row() -> Column:
     return F.col("value").isNotNull() & F.col("sample_dt").isNotNull() & F.col("site_id").isNotNull()
 
 
+def plausible_value() -> Column:
+    """Present and physically possible, in one test.
+
+    The optimiser moves this test below the parsing and so repeats the parsing
+    expression for every mention of ``value``; it is therefore mentioned once, and
+    the coalesce keeps Spark from adding a null test of its own.
+    """
+    limit = F.when(
+        F.col("determinant") == C.TEMPERATURE_DETERMINAND, F.lit(C.TEMPERATURE_LIMIT)
+    ).otherwise(F.lit(float("inf")))
+    return F.coalesce(F.col("value") <= limit, F.lit(False))
+
+
 # --- operators ----------------------------------------------------------------
 
 
@@ -153,9 +166,8 @@ def clean_observations(df: DataFrame, settings: CleaningSettings = CleaningSetti
     df = filter_material(df, settings)
     df = exclude_determinands(df, settings)
     df = exclude_units(df, settings)
-    df = parse_censored(df, settings)
-    df = physical_range_filter(df)
-    return drop_invalid(parse_sample_time(df))
+    df = parse_sample_time(parse_censored(df, settings))
+    return df.where(plausible_value()).where(F.col("sample_dt").isNotNull() & F.col("site_id").isNotNull())
 
 
 def stage_profile(df: DataFrame, settings: CleaningSettings = CleaningSettings()) -> DataFrame:
