@@ -53,48 +53,40 @@ def grouped_quantiles(
         (F.sum("_in_bin").over(running) - F.col("_in_bin")).alias("_before"),
         F.sum("_in_bin").over(whole).alias("_n"),
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(f"{name}.{side}").alias("slot"), rank.alias("rank"))
-            for name, (q, method) in specs.items()
-            for side, rank in _ranks(F.col("_n"), q, method)
-        ]
-    )
-    local = F.transform(
-        F.filter(
-            wanted,
-            lambda w: (w["rank"] >= F.col("_before"))
-            & (w["rank"] < F.col("_before") + F.col("_in_bin")),
-        ),
-        lambda w: F.struct(w["slot"].alias("slot"), (w["rank"] - F.col("_before")).alias("rank")),
-    )
-    targets = bins.select(*keys, "_bin", "_n", local.alias("_wanted")).where(F.size("_wanted") > 0)
+    # One column per wanted rank: its place inside this bin, null for other bins.
+    slots = {
+        f"{name}.{side}": rank
+        for name, (q, method) in specs.items()
+        for side, rank in _ranks(F.col("_n"), q, method)
+    }
+
+    def place(rank: Column) -> Column:
+        here = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in_bin"))
+        return F.when(here, rank - F.col("_before"))
+
+    targets = bins.select(
+        *keys, "_bin", "_n", *[place(rank).alias(slot) for slot, rank in slots.items()]
+    ).where(F.coalesce(*[F.col(f"`{slot}`") for slot in slots]).isNotNull())
     inside = Window.partitionBy(*keys, "_bin").orderBy("_value")
-    join_keys = [*keys, "_bin"]
     hits = (
-        hist.join(_null_safe(targets, keys), _on(hist, targets, keys), "inner")
+        hist.join(_null_safe(targets, keys), _on(keys), "inner")
         if keys
-        else hist.join(targets, join_keys)
-    )
-    hits = hits.select(*keys, "_bin", "_value", "_count", "_n", "_wanted").withColumn(
-        "_upto", F.sum("_count").over(inside)
-    )
-    found = F.filter(
-        "_wanted",
-        lambda w: (w["rank"] >= F.col("_upto") - F.col("_count")) & (w["rank"] < F.col("_upto")),
+        else hist.join(targets, "_bin")
     )
-    slots = hits.select(*keys, "_value", "_n", F.explode(found).alias("_hit"))
-
-    def slot(name: str) -> Column:
-        return F.max(F.when(F.col("_hit.slot") == name, F.col("_value")))
-
-    pieces = slots.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[
-            slot(f"{name}.{side}").alias(f"{name}.{side}")
-            for name, (q, method) in specs.items()
-            for side, _ in _ranks(F.lit(1), q, method)
-        ],
+    hits = hits.select(
+        *keys, "_bin", "_value", "_count", "_n", *[F.col(f"`{slot}`") for slot in slots]
+    ).withColumn("_upto", F.sum("_count").over(inside))
+
+    def at(slot: str) -> Column:
+        rank = F.col(f"`{slot}`")
+        return F.max(
+            F.when(
+                (rank >= F.col("_upto") - F.col("_count")) & (rank < F.col("_upto")), F.col("_value")
+            )
+        )
+
+    pieces = hits.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[at(slot).alias(slot) for slot in slots]
     )
     return pieces.select(*keys, *[_combine(name, q, m).alias(name) for name, (q, m) in specs.items()])
 
@@ -106,7 +98,7 @@ def _null_safe(targets: DataFrame, keys: list[str]) -> DataFrame:
     return renamed
 
 
-def _on(hist: DataFrame, targets: DataFrame, keys: list[str]) -> Column:
+def _on(keys: list[str]) -> Column:
     """Null-safe equality, because a grouping key may be null."""
     condition = F.lit(True)
     for k in [*keys, "_bin"]:
