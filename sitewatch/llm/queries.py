@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import exact_dedup, jaccard_join, quality, sentencepiece, sharding
+from sitewatch.llm import exact_dedup, jaccard_join, licenses, mixing, quality, sentencepiece, sharding
 from sitewatch.llm.common import documents
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -72,6 +72,15 @@ FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mix(documents(spark, sf_dir), mixing.label_domains(labels)).drop("text_key")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(documents(spark, sf_dir), shards=16)
 
@@ -81,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_mixing": op8_mixing,
+    "op9_licenses": op9_licenses,
     "op10_sharding": op10_sharding,
 }
 
