@@ -26,10 +26,11 @@ from sitewatch.operators.checkpoints import cut
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the tokens that each domain shall have.
-TARGETS = {"good": 0.96, "poor": 0.01, "toxic": 0.03}
-BUCKETS = 4096
+TARGETS = {"good": 0.95, "poor": 0.01, "toxic": 0.04}
+MOST_REPEATS = 1.0  # times that a domain may be used as a whole
+BUCKETS = 65_536
 MAX_LABELS = 50_000  # labelled documents that train the classifier, by the smallest hashes
-SHRINKAGE = 2_000.0  # tokens of the overall distribution added to each domain
+SHRINKAGE = 2.0  # weight of the overall distribution against a domain's own, so rare tokens say little
 MAX_STEPS = 40
 TOLERANCE = 1e-6
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -96,7 +97,7 @@ def train(
     buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     overall = (sum(F.coalesce(F.col(c), F.lit(0)) for c in sizes) + 1) / (total + BUCKETS)
     ratio = [
-        (F.log((F.coalesce(F.col(c), F.lit(0)) + SHRINKAGE * overall) / (sums[i] + SHRINKAGE)) - F.log(overall)).alias(f"w{i}")
+        F.log((F.coalesce(F.col(c), F.lit(0)) / max(sums[i], 1) / overall + SHRINKAGE) / (1 + SHRINKAGE)).alias(f"w{i}")
         for i, c in enumerate(sizes)
     ]
     weights = buckets.join(counted, "bucket", "left").select("bucket", *ratio)
@@ -145,11 +146,13 @@ def _rate(steps: list[list[float]], domains: int) -> Column:
     )
 
 
-def fit_steps(told: DataFrame, domains: tuple[str, ...], targets: dict[str, float]) -> list[list[float]]:
+def fit_steps(
+    told: DataFrame, domains: tuple[str, ...], targets: dict[str, float], most_repeats: float = MOST_REPEATS
+) -> list[list[float]]:
     """The vectors of all steps, until expected tokens per domain meet the targets.
 
-    The total is the largest for which no domain has to be repeated. Domains without any
-    expected token cannot be filled; their share stays empty.
+    The domain with the largest share is used once as a whole and sets the total. A
+    domain that has too few tokens for its share is used ``most_repeats`` times.
     """
     n = len(domains)
     weight = F.col("n_tokens") * F.col("rows")
@@ -164,7 +167,8 @@ def fit_steps(told: DataFrame, domains: tuple[str, ...], targets: dict[str, floa
     if not asked.any():
         return []
     share = np.where(asked, share, 0) / share[asked].sum()
-    goal = share * (now[asked] / share[asked]).min()
+    anchor = int(np.argmax(share))
+    goal = np.minimum(share * now[anchor] / share[anchor], most_repeats * now)
     inverse = np.linalg.pinv(scale)
     steps: list[list[float]] = []
     while len(steps) < MAX_STEPS:
