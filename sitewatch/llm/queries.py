@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import exact_dedup, jaccard_join, licenses, mixing, quality, sentencepiece, sharding
+from sitewatch.llm import exact_dedup, jaccard_join, licenses, mixing, pii, quality, sentencepiece, sharding
 from sitewatch.llm.common import documents
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir), labels).drop("score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(documents(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", ","))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
@@ -88,6 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
