@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import exact_dedup, jaccard_join, licenses, mixing, pii, quality, sentencepiece, sharding
+from sitewatch.llm import exact_dedup, html, jaccard_join, licenses, mixing, pii, quality, sentencepiece, sharding
 from sitewatch.llm.common import documents
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_verdicts(documents(spark, sf_dir), labels).drop("score")
@@ -91,6 +95,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_html": op2_html,
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
