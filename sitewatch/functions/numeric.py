@@ -32,9 +32,12 @@ def order_bin(value: Column) -> Column:
     """A bin number that never decreases as the value grows.
 
     Bins have constant relative width, so any set of doubles falls into at most
-    about 270,000 of them whatever its range or row count.
+    about 270,000 of them whatever its range or row count. Infinite values have the
+    outermost bins.
     """
-    magnitude = (F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + _BIN_ORIGIN).cast("int")
+    size = F.abs(value)
+    inside = (F.floor(F.log2(size) * BINS_PER_OCTAVE) + _BIN_ORIGIN).try_cast("int")
+    magnitude = F.when(size == float("inf"), F.lit(10 * _BIN_ORIGIN)).otherwise(inside)
     return F.when(value == 0, F.lit(0)).when(value > 0, magnitude).otherwise(-magnitude)
 
 

@@ -17,6 +17,11 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[blank_to_null(v) for v in values])
 
 
+def without_first(value: Column, count: int = 1) -> Column:
+    """The text after its first characters, however long it is."""
+    return F.substring(value, F.lit(1 + count), F.length(value))
+
+
 def thousands(value: Column) -> Column:
     return F.format_number(value, 0)
 
@@ -31,7 +36,7 @@ def title_every_word(name: Column) -> Column:
     """Capital after every non-letter, small letters elsewhere."""
     tokens = F.split(name, r"(?<=[^\p{L}])(?=\p{L})")
     cased = F.transform(
-        tokens, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1_000_000)))
+        tokens, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(without_first(t)))
     )
     return F.array_join(cased, "")
 
@@ -51,7 +56,7 @@ def title_case_site(label: Column) -> Column:
     cased = F.transform(
         tokens,
         lambda t, i: F.when(~t.rlike("[a-z]") | ((i > 0) & F.array_contains(small, t)), t).otherwise(
-            F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+            F.concat(F.upper(F.substring(t, 1, 1)), without_first(t))
         ),
     )
     return F.when(
@@ -77,7 +82,7 @@ def public_chemical_label(name: Column) -> Column:
     cased = F.transform(
         F.array(label),
         lambda t: F.when(t == "pH", t).otherwise(
-            F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+            F.concat(F.upper(F.substring(t, 1, 1)), without_first(t))
         ),
     )
     return F.element_at(cased, 1)

@@ -129,7 +129,8 @@ def parse_censored(df: DataFrame, settings: CleaningSettings = CleaningSettings(
     """Add ``is_left_censored`` and ``value``; "<x" counts as a share of x.
 
     The text is matched and cast once: later filters on ``value`` repeat this
-    expression, so it is kept small enough for compiled code.
+    expression, so it is kept small enough for compiled code. A number beyond the range
+    of doubles ("1e999") is no measurement and becomes null.
     """
     text = F.btrim(F.col("result_raw").cast("string"), F.lit(BLANKS))
     censored = text.startswith("<")
@@ -140,7 +141,8 @@ def parse_censored(df: DataFrame, settings: CleaningSettings = CleaningSettings(
         .when(censored, F.lit(float(settings.censored_factor)))
         .otherwise(F.lit(1.0))
     )
-    return df.withColumn("is_left_censored", censored).withColumn("value", number * share + F.lit(0.0))
+    value = F.nullif(F.nullif(number * share + F.lit(0.0), F.lit(float("inf"))), F.lit(float("-inf")))
+    return df.withColumn("is_left_censored", censored).withColumn("value", value)
 
 
 def physical_range_filter(df: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def parse_sample_time(df: DataFrame) -> DataFrame:
     """Add ``sample_dt`` (naive timestamp) and ``year``; unreadable times are null."""
     source = F.col("sample_datetime")
     if dict(df.dtypes)["sample_datetime"] == "string":
-        moment = F.try_to_timestamp(source).cast("timestamp_ntz")
+        moment = source.try_cast("timestamp_ntz")
     else:
         moment = source.cast("timestamp_ntz")
     return df.withColumn("sample_dt", moment).withColumn("year", F.year("sample_dt"))

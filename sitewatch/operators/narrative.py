@@ -18,6 +18,7 @@ from sitewatch.functions.text import (
     severity_band,
     thousands,
     title_case_site,
+    without_first,
 )
 
 TIERS = ("limited", "moderate", "well")
@@ -244,7 +245,7 @@ def _flagged_text(df: DataFrame) -> Column:
     rest = F.when(
         F.size(drivers) <= 1,
         F.lit("No other single chemical measure dominates the result."),
-    ).otherwise(_sentence(F.slice(drivers, 2, 1_000)))
+    ).otherwise(_sentence(F.slice(drivers, F.lit(2), F.size(drivers))))
     top_label = F.get(drivers, F.lit(0))["label"]
     signal = _sentence(drivers)
     # Fixed texts, one per remainder of the rank; wording 2 ignores the direction.
@@ -622,7 +623,7 @@ def site_brief(feed: DataFrame) -> DataFrame:
         F.lit(',"wfd_status":'),
         status_json,
         F.lit(","),
-        F.substring(F.to_json(tail, options), 2, 10_000_000),
+        without_first(F.to_json(tail, options)),
     )
     return feed.select("site_id", payload.alias("brief"))
 

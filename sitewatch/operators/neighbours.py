@@ -111,8 +111,7 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         "level", F.explode(F.array(*[F.lit(x) for x in levels]))
     ).select("pid", "px", "py", "_kept", "level", cx.alias("cx"), cy.alias("cy"))
     keys = ["level", "cx", "cy"]
-    crowded = n > SPLIT_ROWS
-    hot = cut(hot_keys(nested, keys, SPLIT_ROWS), "hot") if crowded else None
+    hot = cut(hot_keys(nested, keys, SPLIT_ROWS), "hot")
     full = (
         nested.groupBy(*keys)
         .agg(F.sum("_kept").alias("_held"))
@@ -120,7 +119,7 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         .select(*keys)
     )
     homes = (
-        split_hot_join(full, nested, keys, "pid", SPLIT_ROWS, hot, n)
+        split_hot_join(full, nested, keys, "pid", SPLIT_ROWS, hot)
         .groupBy("pid")
         .agg(F.max("level").alias("level"))
     )
@@ -134,13 +133,13 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
     )
 
     at_home = queries.select("*", cx.alias("cx"), cy.alias("cy"))
-    inside = split_hot_join(at_home, stored, keys, "qid", SPLIT_ROWS, hot, n).withColumn(
+    inside = split_hot_join(at_home, stored, keys, "qid", SPLIT_ROWS, hot).withColumn(
         "_d", space.distance()
     )
     reach = _kth_distance(inside, k)
     cover = _cover(queries.join(reach, "pid", "left"), space, lowest)
     near = (
-        split_hot_join(cover, stored, keys, "qid", SPLIT_ROWS, hot, n)
+        split_hot_join(cover, stored, keys, "qid", SPLIT_ROWS, hot)
         .withColumn("_d", space.distance())
         .where((F.col("_d") <= F.col("_reach")) & (F.col("pid") != F.col("qid")))
     )
@@ -159,9 +158,9 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
         .agg(F.array_sort(F.collect_list(F.struct("distance", "peer_id"))).alias("_peers"))
     )
     own = split_hot_join(
-        positions.select("px", "py", "pid"), points, ["px", "py"], "site_id", SPLIT_ROWS, None, n
+        positions.select("px", "py", "pid"), points, ["px", "py"], "site_id", SPLIT_ROWS
     ).select("site_id", "pid")
-    listed = split_hot_join(offers, own, ["pid"], "site_id", SPLIT_ROWS, None, n).select(
+    listed = split_hot_join(offers, own, ["pid"], "site_id", SPLIT_ROWS).select(
         "site_id",
         F.slice(F.filter("_peers", lambda p: p["peer_id"] != F.col("site_id")), 1, k).alias("_peers"),
     )
@@ -275,9 +274,11 @@ def vector_neighbours(vectors: DataFrame, k: int, column: str = "vector") -> Dat
     lie, and the triangle inequality then names the rows that may be neighbours.
     Members meet those rows in tiles of limited size, cut by hash, so that a crowded
     pivot is many tiles; numpy keeps k rows per member and tile and one window merges
-    them. The result is exact; only the work depends on how well pivots separate.
+    them. The result is exact; only the work depends on how well pivots separate. Rows
+    with a missing or non-finite component have no neighbours and are none.
     """
-    rows = vectors.where(F.col(column).isNotNull()).select(
+    whole = F.forall(column, lambda v: F.coalesce(is_finite(v.cast("double")), F.lit(False)))
+    rows = vectors.where(F.col(column).isNotNull() & whole).select(
         F.col("site_id").cast("string").alias("site_id"),
         F.transform(column, lambda v: v.cast("double")).alias("vector"),
     )
@@ -380,7 +381,13 @@ def _reachable_pivots(pivots: np.ndarray, limits: np.ndarray):
 
 def _tile_top_k(k: int, strip: int = 64):
     def nearest(members: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"site_id": [], "peer_id": [], "distance": []})
+        empty = pd.DataFrame(
+            {
+                "site_id": pd.Series([], dtype=object),
+                "peer_id": pd.Series([], dtype=object),
+                "distance": pd.Series([], dtype="float64"),
+            }
+        )
         if members.empty or offered.empty:
             return empty
         offered = offered.sort_values("site_id", kind="stable")

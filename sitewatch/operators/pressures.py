@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewatch import constants as C
 from sitewatch.functions import geo
 from sitewatch.functions.numeric import null_if_nan, parse_number, round_to_int
-from sitewatch.functions.text import blank_to_null
+from sitewatch.functions.text import blank_to_null, without_first
 
 # --- grid references ------------------------------------------------------------
 
@@ -16,7 +16,7 @@ from sitewatch.functions.text import blank_to_null
 def _grid_parts(reference: Column) -> tuple[Column, Column]:
     """Easting and northing of "AB 123 456"; anything malformed gives null."""
     compact = F.upper(F.replace(F.trim(reference), F.lit(" "), F.lit("")))
-    digits = F.substring(compact, 3, 1_000)
+    digits = without_first(compact, 2)
     half = F.length(digits) / 2
     square = F.try_element_at(_square_map(), F.substring(compact, 1, 2))
     valid = compact.rlike("^[A-Z]{2}([0-9]{2}){1,}$") & square.isNotNull()
@@ -116,7 +116,8 @@ def attach_pollutants(incidents: DataFrame, pollutants: DataFrame, order_by: str
     "First" is the lowest ``order_by``, then type and name.
     """
     ordered = F.array_sort(F.collect_list(F.struct(order_by, "poll_type", "pollutant")))
-    listed = pollutants.groupBy("incident_id").agg(ordered.alias("_all"))
+    own = pollutants.join(incidents.select("incident_id").distinct(), "incident_id", "left_semi")
+    listed = own.groupBy("incident_id").agg(ordered.alias("_all"))
     first = F.get("_all", F.lit(0))
     names = F.transform("_all", lambda e: e["pollutant"])
     summary = listed.select(

@@ -49,20 +49,32 @@ def score_reference(sites: DataFrame, min_group: int) -> DataFrame:
 def peer_zscores(long: DataFrame, sites: DataFrame, min_group: int = 10) -> DataFrame:
     """z of each (site, feature) against its type group, else against all sites.
 
-    Means and spreads come from two map-side combined aggregates that are joined
-    back; a window per type would put a dominant type into one task.
+    One map-side combined aggregate gives count, mean and variance per type and feature,
+    a table of types times features; rolled up it gives those over all sites. Both are
+    joined back without a hint, so small ones are broadcast by their measured size and
+    the site values are not shuffled by type.
     """
     values = long.select("site_id", "feature", null_if_nan(F.col("value")).alias("value"))
     placed = values.join(score_reference(sites, min_group), "site_id")
-    by_type = (
-        placed.where(F.col("reference_type").isNotNull())
-        .groupBy("reference_type", "feature")
-        .agg(F.avg("value").alias("_type_mean"), F.stddev_pop("value").alias("_type_std"))
+    by_type = cut(
+        placed.groupBy("reference_type", "feature").agg(
+            F.count("value").alias("_n"), F.avg("value").alias("_type_mean"), F.var_pop("value").alias("_type_var")
+        ),
+        "type_moments",
     )
-    overall = F.broadcast(  # one row per feature
-        placed.groupBy("feature").agg(
-            F.avg("value").alias("_all_mean"), F.stddev_pop("value").alias("_all_std")
-        )
+    totals = by_type.groupBy("feature").agg(
+        F.sum("_n").alias("_all_n"), (F.sum(F.col("_n") * F.col("_type_mean")) / F.nullif(F.sum("_n"), F.lit(0))).alias("_all_mean")
+    )
+    apart = F.col("_type_mean") - F.col("_all_mean")
+    overall = (
+        by_type.join(totals, "feature")
+        .groupBy("feature", "_all_n", "_all_mean")
+        .agg(F.sum(F.col("_n") * (F.col("_type_var") + apart * apart)).alias("_all_m2"))
+        .select("feature", "_all_mean", F.sqrt(F.col("_all_m2") / F.nullif(F.col("_all_n"), F.lit(0))).alias("_all_std"))
+    )
+    overall = cut(overall, "overall_moments")
+    by_type = by_type.where(F.col("reference_type").isNotNull()).select(
+        "reference_type", "feature", "_type_mean", F.sqrt("_type_var").alias("_type_std")
     )
     own = F.col("reference_type").isNotNull()
     mean = F.when(own, F.col("_type_mean")).otherwise(F.col("_all_mean"))
@@ -149,14 +161,16 @@ def geo_anomaly(long: DataFrame, sites: DataFrame, k: int = 20) -> DataFrame:
 
 
 def score_sites(
-    long: DataFrame, sites: DataFrame, settings: ScoringSettings = ScoringSettings()
+    long: DataFrame, sites: DataFrame, settings: ScoringSettings = ScoringSettings(), z: DataFrame | None = None
 ) -> DataFrame:
     """Scores, ranks, flags and drivers by the chosen method.
 
     ``sites`` needs ``site_id, lat, lon, wfd_type``. The geographic method replaces
-    score and rank; drivers and labels stay those of the typology comparison.
+    score and rank; drivers and labels stay those of the typology comparison. ``z`` may
+    be passed where the z-scores are written already.
     """
-    z = cut(peer_zscores(long, sites, settings.min_group_size), "zscores")
+    if z is None:
+        z = cut(peer_zscores(long, sites, settings.min_group_size), "zscores")
     scores = anomaly_score(z)
     if settings.method == "geographic_neighbours":
         geo = geo_anomaly(long, sites, settings.geographic_k)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewatch.operators.checkpoints import cut
+
 MAX_HOT_KEYS = 2000  # proven bound of the broadcast list
-MAX_SPLITS = 4096
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
@@ -19,11 +20,11 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int) -> DataFrame:
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > rows_per_split)
-        .orderBy(F.desc("_rows"))
+        .orderBy(F.desc("_rows"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(
             *keys,
-            F.least(F.ceil(F.col("_rows") / rows_per_split), F.lit(MAX_SPLITS)).cast("int").alias("_splits"),
+            F.ceil(F.col("_rows") / rows_per_split).cast("int").alias("_splits"),
         )
     )
 
@@ -35,18 +36,15 @@ def split_hot_join(
     build_id: str,
     rows_per_split: int = 200_000,
     hot: DataFrame | None = None,
-    most_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` in which hot keys of ``build`` are split.
 
     A hot key's build rows are spread over numbered splits by a hash of
     ``build_id``; a probe row with that key visits every split once. ``hot`` may be
-    passed where several joins share one build side. Where the caller knows that no
-    key can hold more than ``most_rows``, and that is little, nothing is split.
+    passed where several joins share one build side.
     """
-    if most_rows is not None and most_rows <= rows_per_split:
-        return probe.join(build, keys)
-    hot = F.broadcast(hot_keys(build, keys, rows_per_split) if hot is None else hot)
+    # Written once: both sides must see the same list, also after a retried stage.
+    hot = F.broadcast(cut(hot_keys(build, keys, rows_per_split), "hot_keys") if hot is None else hot)
     placed = build.join(hot, keys, "left").withColumn(
         "_split", F.pmod(F.xxhash64(build_id), F.coalesce("_splits", F.lit(1))).cast("int")
     )

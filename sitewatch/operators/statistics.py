@@ -80,8 +80,11 @@ def site_metadata(df: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
     """First known value of each site attribute; an absent attribute is null.
 
     "First" means lowest by ``order_by`` among rows that have the attribute, then
-    lowest value, so it does not depend on how rows arrive.
+    lowest value, so it does not depend on how rows arrive. Latitude and longitude come
+    from one row that has both, so a site that moved keeps a place where it has been.
     """
+    place = ("lat", "lon")
+    placed = all(c in df.columns for c in place)
 
     def first_known(name: str) -> Column:
         if name not in df.columns:
@@ -91,7 +94,15 @@ def site_metadata(df: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
         )
         return F.min(keyed)["_v"].alias(name)
 
-    return df.groupBy("site_id").agg(*[first_known(c) for c in C.SITE_ATTRIBUTES])
+    alone = [c for c in C.SITE_ATTRIBUTES if not (placed and c in place)]
+    both = []
+    if placed:
+        known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+        both = [F.min(F.when(known, F.struct(*[F.col(o) for o in order_by], *place))).alias("_place")]
+    found = df.groupBy("site_id").agg(*[first_known(c) for c in alone], *both)
+    return found.select(
+        "site_id", *[F.col(f"_place.{c}").alias(c) if placed and c in place else c for c in C.SITE_ATTRIBUTES]
+    )
 
 
 def whole_days(start: Column, end: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitewatch.config import Settings
 from sitewatch.operators import cleaning, features, gates, narrative, peers, pressures, scoring, spatial, statistics
 from sitewatch.operators import feed as feeds
+from sitewatch.operators.checkpoints import run_folder
 from sitewatch.plans.fingerprint import build_signatures
 from sitewatch.sources.feed import write_feed, write_flagged
 from sitewatch.sources.layers import latest_snapshot, read_layer, snapshot_run, write_layer
@@ -44,7 +45,7 @@ def fingerprint(
     values = read_layer(spark, root, VALUES)
     embedded = features.embed_2d(features.standard_scale(values))
     described = features.site_meta_join(
-        statistics.site_metadata(obs), statistics.site_coverage(obs), built.sites.join(embedded, "site_id")
+        statistics.site_metadata(obs, ("sample_dt",)), statistics.site_coverage(obs), built.sites.join(embedded, "site_id")
     )
     write_layer(features.typology_join(described, lookup), root, SITES)
     return read_layer(spark, root, SITES)
@@ -57,7 +58,7 @@ def score(spark: SparkSession, root: str, settings: Settings = Settings()) -> Da
     z = scoring.peer_zscores(values, sites, settings.scoring.min_group_size)
     write_layer(z, root, ZSCORES)
     z = read_layer(spark, root, ZSCORES)
-    scores = scoring.score_sites(values, sites, settings.scoring)
+    scores = scoring.score_sites(values, sites, settings.scoring, z)
     points = sites.select("site_id", F.col("umap_x").alias("x"), F.col("umap_y").alias("y"))
     z_vectors = features.to_vectors(z.select("site_id", "feature", F.coalesce("z", F.lit(0.0)).alias("value")))
     chemistry = features.to_vectors(features.standard_scale(values))
@@ -150,24 +151,28 @@ def run_release(
     first_layer: int = 1,
     halt: bool = True,
 ) -> DataFrame:
-    """All layers with a gate after observations, scores and feed; archives the run."""
-    if first_layer <= 1:
-        obs = ingest(spark, raw_dir, root, settings)
-        before = latest_snapshot(spark, archive, "row_counts")
-        rows = before.first()["row_count"] if before is not None else None
-        checks = gates.gate_1(obs, as_of_year, rows, settings.gates)
-        gates.run_gates(checks, f"{root}/reports/gate_1", halt)
-    if first_layer <= 2:
-        fingerprint(spark, root, lookup, settings)
-    if first_layer <= 3:
-        scored = score(spark, root, settings)
-        checks = gates.gate_2(scored, latest_snapshot(spark, archive, SCORED), settings.gates)
-        gates.run_gates(checks, f"{root}/reports/gate_2", halt)
-    feed = narrate(spark, root, settings)
-    readable = gates.gate_readable(spark, f"{root}/published")
-    checks = readable.unionByName(gates.gate_3(feed, latest_snapshot(spark, archive, FEED), settings.gates))
-    gates.run_gates(checks, f"{root}/reports/gate_3", halt)
-    counts = read_layer(spark, root, OBSERVATIONS).agg(F.count(F.lit(1)).alias("row_count"))
-    for name, table in ((SCORED, read_layer(spark, root, SCORED)), (FEED, feed), ("row_counts", counts)):
-        snapshot_run(table, archive, name, run_id)
+    """All layers with a gate after observations, scores and feed; archives the run.
+
+    Intermediate tables go below one folder, which is removed at the end.
+    """
+    with run_folder(spark):
+        if first_layer <= 1:
+            obs = ingest(spark, raw_dir, root, settings)
+            before = latest_snapshot(spark, archive, "row_counts")
+            rows = before.first()["row_count"] if before is not None else None
+            checks = gates.gate_1(obs, as_of_year, rows, settings.gates)
+            gates.run_gates(checks, f"{root}/reports/gate_1", halt)
+        if first_layer <= 2:
+            fingerprint(spark, root, lookup, settings)
+        if first_layer <= 3:
+            scored = score(spark, root, settings)
+            checks = gates.gate_2(scored, latest_snapshot(spark, archive, SCORED), settings.gates)
+            gates.run_gates(checks, f"{root}/reports/gate_2", halt)
+        feed = narrate(spark, root, settings)
+        readable = gates.gate_readable(spark, f"{root}/published")
+        checks = readable.unionByName(gates.gate_3(feed, latest_snapshot(spark, archive, FEED), settings.gates))
+        gates.run_gates(checks, f"{root}/reports/gate_3", halt)
+        counts = read_layer(spark, root, OBSERVATIONS).agg(F.count(F.lit(1)).alias("row_count"))
+        for name, table in ((SCORED, read_layer(spark, root, SCORED)), (FEED, feed), ("row_counts", counts)):
+            snapshot_run(table, archive, name, run_id)
     return feed

@@ -473,3 +473,92 @@ def test_gates_on_tiny_tables(spark):
     assert not gates.gate_null_rates(prefixes).first()["passed"]
     with pytest.raises(gates.GateFailed):
         gates.run_gates(gates.gate_rank_continuity(twice))
+
+
+# --- repairs: long texts, many drivers, infinite and missing numbers, moved sites -----------
+
+
+def test_long_tokens_and_many_drivers_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    from sitewatch.functions.text import title_every_word
+
+    token = "x" * 1_200_000
+    row = spark.createDataFrame([(token,)], "t string").select(title_every_word(F.col("t")).alias("t")).first()
+    assert row["t"] == "X" + token[1:]
+    many = spark.range(1).select(F.slice(F.sequence(F.lit(1), F.lit(1200)), F.lit(2), F.lit(1200)).alias("s")).first()
+    assert len(many["s"]) == 1199
+
+
+def test_infinite_measurements_are_null_and_bins_are_total(spark):
+    from pyspark.sql import functions as F
+
+    from sitewatch.functions.numeric import order_bin
+    from sitewatch.operators.cleaning import parse_censored
+
+    raw = spark.createDataFrame([("1e999", "a"), ("-1e999", "a"), ("<3", "a"), ("2.5", "a")], "result_raw string, determinant string")
+    assert [r["value"] for r in parse_censored(raw).collect()][:2] == [None, None]
+    values = [float("-inf"), -1e300, -1.0, 0.0, 1e-300, 7.0, float("inf")]
+    bins = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(order_bin(F.col("v")).alias("b")).collect()]
+    assert bins == sorted(bins) and len(set(bins)) == len(bins)
+
+
+def test_sample_times_do_not_depend_on_the_time_zone(spark):
+    from sitewatch.operators.cleaning import parse_sample_time
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        df = spark.createDataFrame([("2024-03-31T01:30:00",), ("no time",)], "sample_datetime string")
+        found = [r["sample_dt"] for r in parse_sample_time(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert str(found[0]) == "2024-03-31 01:30:00" and found[1] is None
+
+
+def test_a_moved_site_keeps_a_place_where_it_has_been(spark):
+    from sitewatch.operators.statistics import site_metadata
+
+    rows = [("s", 51.0, 0.5, 2), ("s", 50.0, 1.0, 3), ("s", None, 0.1, 1)]
+    df = spark.createDataFrame(rows, "site_id string, lat double, lon double, t int")
+    first = site_metadata(df, ("t",)).first()
+    assert (first["lat"], first["lon"]) == (51.0, 0.5)
+
+
+@pytest.mark.parametrize("tile, block", [(4, 3), (2000, 20000)])
+def test_vector_neighbours_with_small_far_clusters_and_bad_components(spark, monkeypatch, tile, block):
+    import numpy as np
+
+    from sitewatch.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE_ROWS", tile)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(6, 3)) + 1000])
+    rows = [(f"s{i:02d}", [float(x) for x in v]) for i, v in enumerate(data)]
+    rows += [("nan", [float("nan"), 0.0, 0.0]), ("null", [None, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "site_id string, vector array<double>")
+    got = {(r["site_id"], r["rank"]): r["peer_id"] for r in neighbours.vector_neighbours(df, 3).collect()}
+    for i, v in enumerate(data):
+        d = np.sqrt(((data - v) ** 2).sum(axis=1))
+        near = [j for j in np.lexsort((np.arange(len(d)), d)) if j != i][:3]
+        assert [got[f"s{i:02d}", r + 1] for r in range(3)] == [f"s{j:02d}" for j in near]
+    assert not any(s in ("nan", "null") for s, _ in got)
+
+
+def test_intermediate_folder_is_shared_or_refused(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from sitewatch.operators import checkpoints
+
+    def session(settings, master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: settings.get(key, default))
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    local = {checkpoints.WAREHOUSE: "file:/tmp/warehouse"}
+    assert checkpoints.checkpoint_root(session(local, "local[8]")) == "file:/tmp/warehouse/_intermediate"
+    assert checkpoints.checkpoint_root(session(local | {checkpoints.SETTING: "hdfs://n/c/"}, "yarn")) == "hdfs://n/c"
+    assert checkpoints.checkpoint_root(session({checkpoints.WAREHOUSE: "s3a://b/w"}, "yarn")) == "s3a://b/w/_intermediate"
+    with pytest.raises(RuntimeError, match="all executors share"):
+        checkpoints.checkpoint_root(session(local, "spark://host:7077"))
