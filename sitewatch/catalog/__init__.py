@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewatch.catalog import cleaning, feed, gates, pressures, scoring
+from sitewatch.catalog import cleaning, feed, gates, pressures, scoring, sources
 
-_PARTS = (cleaning, scoring, pressures, feed, gates)
+_PARTS = (cleaning, scoring, pressures, feed, gates, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

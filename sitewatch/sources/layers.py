@@ -11,8 +11,8 @@ def write_layer(df: DataFrame, root: str, name: str, partition_by: tuple[str, ..
     path = f"{root}/{name}"
     writer = df.write.mode("overwrite")
     if partition_by:
-        # One hash partition per value and task slice keeps file counts low.
-        writer = writer.partitionBy(*partition_by)
+        # Rows of one value come together, so there are few files; large values are split.
+        writer = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
     writer.parquet(path)
     return path
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,9 @@ from sitewatch import constants as C
 from sitewatch.operators.feed import union_by_name
 
 
+HEADER_THREADS = 32
+
+
 class NoInput(FileNotFoundError):
     """Nothing to read."""
 
@@ -27,12 +32,29 @@ def _list_files(spark: SparkSession, directory: str) -> list[str]:
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one CSV file; every column is read as text.
+    """Column names of one CSV file, from its first line.
 
-    Text keeps code columns such as "0076" intact, which type inference would not.
+    Every column is read as text, which keeps codes such as "0076" intact.
     """
-    first = spark.read.option("header", True).csv(path).schema
-    return tuple(f.name for f in first.fields)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")]), ()))
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header. Only first lines are read, many files at a time and without a job."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        for path, header in zip(paths, pool.map(lambda p: _header(spark, p), paths), strict=True):
+            if header:
+                by_header.setdefault(header, []).append(path)
+    return by_header
 
 
 def read_observations(spark: SparkSession, directory: str) -> DataFrame:
@@ -43,13 +65,10 @@ def read_observations(spark: SparkSession, directory: str) -> DataFrame:
     """
     files = _list_files(spark, directory)
     skipped = "|".join(str(y) for y in C.SKIPPED_SOURCE_YEARS)
-    csv = [f for f in files if f.endswith(".csv") and not _is_skipped(f, skipped)]
+    texts = [f for f in files if f.endswith(".csv") and not _is_skipped(f, skipped)]
     parquet = [f for f in files if f.endswith(".parquet")]
     frames: list[DataFrame] = []
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in csv:
-        by_header.setdefault(_header(spark, path), []).append(path)
-    for header, paths in by_header.items():  # one scan per distinct header
+    for header, paths in _headers(spark, texts).items():  # one scan per distinct header
         schema = StructType([StructField(name, StringType()) for name in header])
         name = F.col("_metadata.file_name")
         frame = spark.read.option("header", True).schema(schema).csv(paths)
@@ -60,7 +79,8 @@ def read_observations(spark: SparkSession, directory: str) -> DataFrame:
                 F.regexp_extract(name, C.RAW_FILE_PATTERN, 2).try_cast("int").alias("source_year"),
             )
         )
-    frames += [spark.read.parquet(p) for p in parquet]
+    if parquet:  # one scan; columns that a file lacks are null
+        frames.append(spark.read.option("mergeSchema", True).parquet(*parquet))
     if not frames:
         raise NoInput(f"no usable CSV or parquet files in {directory}")
     return reduce(union_by_name, frames)
