@@ -49,3 +49,8 @@ def map_chunks(
                 yield function(part)
 
     return df.mapInArrow(run, schema)
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as the struct ``row``, beside the given columns; no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])

@@ -1,12 +1,16 @@
-"""Connected components of an edge table, by large-star and small-star contraction."""
+"""Connected components, and the links among nodes that share a signature."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewatch.operators.checkpoints import cut
 
+STAR_ROUNDS = 2
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Hang the larger (or smaller) neighbours of every node on its smallest neighbour."""
@@ -51,3 +55,74 @@ def _print(edges: DataFrame) -> tuple:
             F.sum(F.hash("a", "b").cast("long")),
         ).first()
     )
+
+
+def link_groups(members: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``a, b`` with the components of all pairs that share a signature and are linked.
+
+    ``members`` has ``signature, node``; ``linked`` returns those of the pairs ``a, b``
+    that are links. Few pairs are asked where groups are large: see the single steps. At
+    the end every pair of one signature has been asked or lies in one component.
+    """
+    links = cut(linked(_first_pairs(members)), "links")
+    open_ones = _labelled(members, links)
+    for _ in range(STAR_ROUNDS):
+        links = cut(links.unionByName(linked(_star_pairs(open_ones))), "links")
+        open_ones = _labelled(open_ones.select("signature", "node"), links)
+    return cut(links.unionByName(linked(_remaining_pairs(open_ones))), "links")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of signatures that several components share, with their component."""
+    known = components(links, "group_components")
+    named = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ones = (
+        named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("signature")
+    )
+    left = members.join(cut(open_ones, "group_signatures"), "signature").select("signature", "node")
+    named = left.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return cut(named, "group_open")
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Every node with the least node of its smallest, and of its largest, signature."""
+    ends = members.groupBy("node").agg(F.min("signature").alias("x"), F.max("signature").alias("y"))
+    ends = cut(ends.select("node", F.explode(F.array_distinct(F.array("x", "y"))).alias("signature")), "group_ends")
+    heads = ends.groupBy("signature").agg(F.min("node").alias("head"), F.max("node").alias("most")).where("head <> most")
+    return _pairs(ends.join(heads.select("signature", "head"), "signature").where("node <> head").select("head", "node"))
+
+
+def _star_pairs(labelled: DataFrame) -> DataFrame:
+    """Per signature, one node of every component against that of the least component.
+
+    Two components that meet in many signatures are asked once in a round.
+    """
+    each = cut(labelled.groupBy("signature", "component").agg(F.min("node").alias("node")), "group_each")
+    least = (
+        each.groupBy("signature")
+        .agg(F.min(F.struct("component", "node")).alias("least"))
+        .select("signature", F.col("least.component").alias("own"), F.col("least.node").alias("head"))
+    )
+    met = each.join(least, "signature").where("component <> own")
+    return _pairs(
+        met.groupBy("own", "component").agg(F.min(F.struct("head", "node")).alias("p")).select("p.head", "p.node")
+    )
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    one, two = df.columns
+    return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+
+
+def _remaining_pairs(labelled: DataFrame) -> DataFrame:
+    """Per signature, nodes outside its largest component against all nodes not in theirs."""
+    sizes = labelled.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = (
+        sizes.groupBy("signature")
+        .agg(F.max(F.struct("n", "component")).alias("top"))
+        .select("signature", F.col("top.component").alias("largest"))
+    )
+    told = cut(labelled.join(largest, "signature"), "group_told")
+    minor = told.where("component <> largest").select("signature", F.col("node").alias("m"), F.col("component").alias("c"))
+    other = told.select("signature", "node", "component")
+    return _pairs(minor.join(other, "signature").where("c <> component").select("m", "node"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import own_names, text_or_empty
+from sitewatch.llm.common import own_names, packed, text_or_empty
 from sitewatch.operators.checkpoints import cut
 
 ROUNDS = 3
@@ -101,13 +101,9 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kept = (
         exact_groups(docs, doc_id, text)
         .where("kept")
-        .select(F.xxhash64(doc_id).alias("_key"), F.col("sha").alias("_sha"), F.col(doc_id).alias("_kept_id"))
-    )
-    keyed = docs.withColumns(
-        {"_key": F.xxhash64(F.col(f"`{doc_id}`")), "_sha": F.unhex(F.sha2(text_or_empty(text), 256))}
-    )
-    staying = keyed.join(kept, ["_key", "_sha"]).where(F.col(doc_id).eqNullSafe(F.col("_kept_id")))
-    copies = Window.partitionBy("_key", "_sha").orderBy("_key")
-    return (
-        staying.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(F.xxhash64(doc_id).alias("key"), "sha", F.col(doc_id).alias("kept_id"))
     )
+    keyed = packed(docs, key=F.xxhash64(F.col(f"`{doc_id}`")), sha=F.unhex(F.sha2(text_or_empty(text), 256)))
+    staying = keyed.join(kept, ["key", "sha"]).where(F.col(f"row.`{doc_id}`").eqNullSafe(F.col("kept_id")))
+    copies = Window.partitionBy("key", "sha").orderBy("key")
+    return staying.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import own_names, text_or_empty
+from sitewatch.llm.common import own_names, packed, text_or_empty
 from sitewatch.operators.checkpoints import cut
 
 DOMAINS = ("good", "poor", "toxic")
@@ -214,12 +214,15 @@ def mix(
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents as often as they are used, with all their columns."""
-    used = mix(docs, labelled, targets).where("copies > 0").select(
-        F.xxhash64("doc_id").alias("_key"), F.col("text_key").alias("_text"), "copies"
-    ).distinct()
-    keyed = docs.withColumns({"_key": F.xxhash64("doc_id"), "_text": F.xxhash64(text_or_empty())})
+    used = (
+        mix(docs, labelled, targets)
+        .where("copies > 0")
+        .select(F.xxhash64("doc_id").alias("key"), "text_key", "copies")
+        .distinct()
+    )
+    keyed = packed(docs, key=F.xxhash64("doc_id"), text_key=F.xxhash64(text_or_empty()))
     return (
-        keyed.join(used.withColumnRenamed("copies", "_copies"), ["_key", "_text"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        keyed.join(used, ["key", "text_key"])
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select("row.*")
     )

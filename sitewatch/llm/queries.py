@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm import exact_dedup, html, jaccard_join, licenses, mixing, pii, quality, sentencepiece, sharding
+from sitewatch.llm import exact_dedup, html, jaccard_join, licenses, line_dedup, mixing, pii, quality, sentencepiece, sharding
 from sitewatch.llm.common import documents
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -51,6 +51,10 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(documents(spark, sf_dir))
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
