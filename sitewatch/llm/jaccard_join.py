@@ -10,34 +10,39 @@ The sketch is split into blocks. D differing bits spoil at most D blocks, hence
 first D + 1 blocks that are not zero one at least is equal in both sketches (pigeonhole;
 zero blocks are skipped, as they say nothing). A document therefore emits one signature
 per block for its first D + 1 non-zero blocks, and linked documents share a signature.
-Sizes are dealt to bands, each with sketches 16 times as long as its largest set; a
-document that may have partners in the next band emits the sketch of that band too.
-Shingles that very many documents hold have blocks of their own at the end of the order,
-so they are hardly ever among the first D + 1. That steers the cost, never the result.
-
-Documents with equal sets are one node. Within the documents of a signature, links are
-found without comparing all pairs: in each round every component that is known so far
-sends one node, all of them are verified against the node of the smallest component, and
-components merge. Pairs that are still in different components after the last round are
-compared in full. Nothing is dropped: a pair is skipped only if it is connected already.
+Sizes are dealt to bands with a number of blocks each; a document that may have partners
+in the next band emits the signatures of that band too. Shingles that very many documents
+hold come last in the order, so they are hardly ever among the first D + 1. That steers
+the cost, never the result.
+
+Pairs with a common signature must pass a second, short parity sketch, whose Hamming
+distance may not exceed the bound, and then an exact comparison of the sets.
+
+Documents with equal sets are one node. Within the nodes of a signature, links are found
+without comparing all pairs. First a node is compared with the least node of its smallest
+and of its largest signature, which already joins most groups. Then, while signatures
+hold several components, each component is compared with the least one. Pairs that are in
+different components after that are compared in full. Nothing is dropped: a pair is
+skipped only where its nodes are connected already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import chunks, own_names
-from sitewatch.llm.components import components
+from sitewatch.llm.common import chunks, own_names, packed
+from sitewatch.llm.components import components, link_groups
 from sitewatch.operators.checkpoints import cut
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # Jaccard of 0.75
-STAR_ROUNDS = 3
 REMEMBERED = 300_000
 #: At most so many common shingles are put last; more would cost memory, fewer only time.
 COMMON = 1 << 18
@@ -48,6 +53,9 @@ BAND_STEP, BLOCKS_PER_SHINGLE, FIRST_BAND = 4, 16, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.uint64(0x94D049BB133111EB)
+_NOTHING = np.zeros(0, np.uint64)
+FIELDS = ["kind", "id", "key", "name", "n", "sketch"]
+FILTER_BITS = 1 << 24  # of the bitmap of wanted ids; more ids only let more texts pass
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -56,39 +64,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Shingle sets of texts; remembers word hashes within a worker."""
 
     def __init__(self) -> None:
-        self.word: dict[bytes, int] = {}
+        self.word = Hashes()
 
     def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of all texts one after another, in order, and where each begins."""
-        import xxhash
-
+        """Distinct shingles of all texts one after another, each in order, and where each begins."""
         if len(self.word) > REMEMBERED:
-            self.word = {}
-        known = self.word
+            self.word.clear()
         split = [(t or "").encode().lower().split() for t in texts]
-        for w in {w for words in split for w in words}:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
         counts = np.array([len(s) for s in split], np.int64)
-        flat = np.fromiter((known[w] for words in split for w in words), np.uint64)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        whole = np.minimum(counts, WORDS)[doc]
-        value = np.zeros(len(flat), np.uint64)
+        flat = np.fromiter(map(self.word.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
+        width = max(len(flat) - WORDS + 1, 0)
+        rolled = np.zeros(width, np.uint64)
         for step in range(WORDS):
-            later = np.roll(flat, -step)
-            value = np.where(step < whole, mixed(value * _ODD + later + np.uint64(step)), value)
-        starts = at + whole <= counts[doc]
-        value, doc = value[starts], doc[starts]
-        order = np.lexsort((value, doc))
-        value, doc = value[order], doc[order]
-        new = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))[: len(value)]
-        value, doc = value[new], doc[new]
-        return value, np.append(0, np.cumsum(np.bincount(doc, minlength=len(texts))))
+            rolled = rolled * _ODD + flat[step : step + width]
+        rolled = mixed(rolled)
+        parts, start = [], 0
+        for n in counts.tolist():
+            if n >= WORDS:
+                own = np.sort(rolled[start : start + n - WORDS + 1])
+                parts.append(own[np.append(True, own[1:] != own[:-1])])
+            elif n:
+                value = np.uint64(n)
+                for word in flat[start : start + n]:
+                    value = mixed(np.array([value]) * _ODD + word)[0]
+                parts.append(np.array([value], np.uint64))
+            else:
+                parts.append(_NOTHING)
+            start += n
+        return np.concatenate([_NOTHING, *parts]), np.cumsum([0, *map(len, parts)])
 
 
 def set_names(value: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -99,58 +112,84 @@ def set_names(value: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def bands(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Which sets take part in a band, the band's number and its number of blocks."""
+    """Which sets take part in a band, the band's number and its blocks as a power of two."""
     low, high, band = 0, FIRST_BAND, 0
     while low < sizes.max(initial=0):
         # Partners are up to 4/3 as large, so the upper quarter of a band below takes part.
         own = (sizes > low * NUMERATOR // DENOMINATOR) & (sizes <= high)
         # Among few shingles two could share a block, so the lowest band has very many.
-        yield own, band, 1 << 32 if band == 0 else BLOCKS_PER_SHINGLE * high
+        yield own, band, 32 if band == 0 else int(BLOCKS_PER_SHINGLE * high).bit_length() - 1
         low, high, band = high, high * BAND_STEP, band + 1
 
 
 def signatures(value: np.ndarray, start: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, whether its block is of common shingles) for all sets."""
+    """(signature, set, whether its block is of common shingles) for all sets.
+
+    The sketch has 2^64 bits and is kept as the places of its ones, which are the hashes
+    themselves; a block is a range of places.
+    """
     sizes = np.diff(start)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
-    frequent = common[at] == value if len(common) else np.zeros(len(value), bool)
+    frequent = np.zeros(len(value), bool)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, value), len(common) - 1)
+        frequent = common[at] == value
+        if frequent.any():
+            order = np.argsort(owner * 2 + frequent, kind="stable")
+            value, frequent = value[order], frequent[order]
     out = []
-    for own, band, blocks in bands(sizes):
+    for own, band, power in bands(sizes):
         mine = own[owner]
         v, o, f = value[mine], owner[mine], frequent[mine]
         if not len(v):
             continue
-        block = mixed(v + np.uint64(band)) % np.uint64(blocks)
-        bit = mixed(v ^ _LAST) & np.uint64(0xFFFFFFFF)
-        order = np.lexsort((bit, block, f, o))
-        o, f, block, bit = o[order], f[order], block[order], bit[order]
-        # Parity: a bit that two shingles of a set flip is zero again.
-        new = np.append(True, (o[1:] != o[:-1]) | (f[1:] != f[:-1]) | (block[1:] != block[:-1]) | (bit[1:] != bit[:-1]))
-        first = np.flatnonzero(new)
-        odd = first[np.diff(np.append(first, len(o))) % 2 == 1]
-        o, f, block, bit = o[odd], f[odd], block[odd], bit[odd]
-        head = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (f[1:] != f[:-1]) | (block[1:] != block[:-1])))
-        content = np.add.reduceat(mixed(bit + _ODD), head)
+        block = v >> np.uint64(64 - power)
+        head = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (o[1:] != o[:-1]) | (f[1:] != f[:-1])))
+        content = np.add.reduceat(mixed(v + _ODD), head)
         o, f, block = o[head], f[head], block[head]
         per_set = np.bincount(o, minlength=len(sizes))
         place = np.arange(len(o)) - (np.cumsum(per_set) - per_set)[o]
         needed = place <= sizes[o] // 3
-        salt = np.uint64(band * int(_ODD) % 2**64)
-        name = mixed(content + mixed(block * np.uint64(2) + f + salt))
-        out.append((name[needed].view(np.int64), o[needed], f[needed]))
+        name = mixed(content[needed] + mixed(block[needed] * np.uint64(64) + np.uint64(band * 2) + f[needed]))
+        out.append((name.view(np.int64), o[needed], f[needed]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def short_sketches(value: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """Parity sketches of two to four bits per shingle, a power of two and 64 at least."""
+    sizes = np.diff(start)
+    bits = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    place = (value & np.repeat((bits - 1).astype(np.uint64), sizes)).astype(np.int64)
+    flips = np.bincount(place + np.repeat(ends - bits, sizes), minlength=int(ends[-1]) if len(ends) else 0)
+    packed = np.packbits((flips & 1).astype(np.uint8)).tobytes()
+    return [packed[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def hamming(one: bytes, two: bytes) -> int:
+    """Distance of two sketches; the longer is folded, which keeps its parities."""
+    if len(one) > len(two):
+        one, two = two, one
+    folded = np.bitwise_xor.reduce(np.frombuffer(two, np.uint8).reshape(-1, len(one)), axis=0)
+    return int(np.bitwise_count(np.frombuffer(one, np.uint8) ^ folded).sum())
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, key, text``; the key also tells rows without an id apart, by their texts."""
+    return own_names(docs, doc_id, text).select(
+        F.col(doc_id).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text")
+    )
+
+
 def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Written table: per row its set's name and size, and counts of frequent shingles.
 
-    ``kind`` 0: ``id`` is the document, ``name`` its set. ``kind`` 1: ``name`` is a shingle
+    ``kind`` 0: ``id`` is the document, ``name`` its set, with a short sketch. ``kind`` 1: ``name`` is a shingle
     that ``n`` sets of one task hold; kept where that is a fair share of the task's sets.
     """
-    source = own_names(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    source = _keyed(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), np.zeros(0, np.int64)
@@ -169,8 +208,15 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 value, start = shingler.sets(part.column("text").to_pylist())
                 sizes, names = np.diff(start), set_names(value, start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(names), np.int8)), part.column("id"), pa.array(names), pa.array(sizes)],
-                    ["kind", "id", "name", "n"],
+                    [
+                        pa.array(np.zeros(len(names), np.int8)),
+                        part.column("id"),
+                        part.column("key"),
+                        pa.array(names),
+                        pa.array(sizes),
+                        pa.array(short_sketches(value, start), pa.binary()),
+                    ],
+                    FIELDS,
                 )
                 _, once = np.unique(names, return_index=True)
                 once = once[~np.isin(names[once], seen)]
@@ -185,11 +231,18 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         often = count >= max(3, sets // COMMON_SHARE)
         held, count = held[often], count[often]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(held), np.int8)), pa.nulls(len(held), pa.int64()), pa.array(held.view(np.int64)), pa.array(count)],
-            ["kind", "id", "name", "n"],
+            [
+                pa.array(np.ones(len(held), np.int8)),
+                pa.nulls(len(held), pa.int64()),
+                pa.nulls(len(held), pa.int64()),
+                pa.array(held.view(np.int64)),
+                pa.array(count),
+                pa.nulls(len(held), pa.binary()),
+            ],
+            FIELDS,
         )
 
-    return cut(source.mapInArrow(run, "kind byte, id long, name long, n long"), "shingle_sets")
+    return cut(source.mapInArrow(run, "kind byte, id long, key long, name long, n long, sketch binary"), "shingle_sets")
 
 
 def common_shingles(told: DataFrame) -> np.ndarray:
@@ -235,24 +288,26 @@ def shared_signatures(docs: DataFrame, common: np.ndarray, text: str) -> DataFra
         .withColumn("_split", split)
         .withColumns({"_least": F.min("node").over(group), "_most": F.max("node").over(group)})
         .where("frequent or _least <> _most")
+        .dropDuplicates(["signature", "_split", "node"])  # in place: rows of a split lie together
         .select("signature", "node")
-        .distinct()
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity, compared exactly.
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The written pairs ``a, b`` whose sets reach the similarity, compared exactly.
 
-    The rows of a node ``a`` follow it in order, in parts of a few hundred partners, so a
-    worker holds one set of ``a`` and one chunk of texts at a time.
+    ``nodes`` has the ``key`` of one document per node. The rows of a node ``a`` follow
+    it in order, in parts of its partners, so a worker holds one set of ``a`` and one
+    chunk of texts at a time.
     """
     part = F.pmod(F.xxhash64("b"), F.lit(SPLITS)).cast("int")
     lanes = pairs.select("a", "b", part.alias("lane"))
     roles = lanes.select("a", "lane", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(
         lanes.select("a", "lane", F.col("a").alias("node"), F.lit(0).alias("role")).distinct()
     )
+    keyed = cut(roles.join(nodes.select("node", "key"), "node"), "near_roles")
     ordered = (
-        roles.join(texts, "node")
+        keyed.join(texts_of(docs, keyed, doc_id, text), "key")
         .repartition("a", "lane")
         .sortWithinPartitions("a", "lane", "role")
         .select("a", "node", "role", "text")
@@ -283,82 +338,125 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return members.withColumn("component", F.col("node"))
-    known = components(links, "near_components")
-    return members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose short sketches do not rule a link out."""
+    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    both = pairs.join(one, "a").join(two, "b").where(least * DENOMINATOR >= most * NUMERATOR)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // 7
+            near = [
+                hamming(x, y) <= most
+                for x, y, most in zip(
+                    batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), bound.tolist(), strict=True
+                )
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-def _star_pairs(labelled: DataFrame) -> DataFrame:
-    """Per signature, one node of every component against that of the least component."""
-    each = labelled.groupBy("signature", "component").agg(F.min("node").alias("node"))
-    each = cut(each, "near_each")
-    least = (
-        each.groupBy("signature")
-        .agg(F.min(F.struct("component", "node")).alias("least"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("signature", F.col("least.node").alias("head"))
-    )
-    return _pairs(each.join(least, "signature").where("node <> head").select("head", "node"))
-
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
-def _pairs(df: DataFrame) -> DataFrame:
-    one, two = df.columns
-    return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
+def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``key, text`` of the keys wanted and of some others.
 
-def _remaining_pairs(labelled: DataFrame) -> DataFrame:
-    """Per signature, nodes outside its largest component against all nodes not in theirs."""
-    sizes = labelled.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = (
-        sizes.groupBy("signature")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k"))
-        .where("k > 1")
-        .select("signature", F.col("top.component").alias("largest"))
+    A bitmap of fixed size holds back most texts that nobody asked for before they are
+    shuffled; the join that follows is exact. A task passes repeated rows on once.
+    """
+    place = F.pmod("key", F.lit(FILTER_BITS))
+    words = (
+        wanted.select(place.alias("place"))
+        .selectExpr("shiftright(place, 6) AS w", "shiftleft(1L, CAST(place & 63 AS int)) AS bit")
+        .groupBy("w")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toPandas()
     )
-    mixed_up = cut(labelled.join(largest, "signature"), "near_mixed")
-    minor = mixed_up.where("component <> largest").select("signature", F.col("node").alias("m"), F.col("component").alias("c"))
-    other = mixed_up.select("signature", "node", "component")
-    return _pairs(minor.join(other, "signature").where("c <> component").select("m", "node"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words["w"]] = words["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    keyed = _keyed(docs, doc_id, text).select("key", "text", place.alias("place"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            some = batch.select(["key", "text"]).filter(pa.array(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
+            fresh = []
+            for key in some.column("key").to_pylist():
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield some.filter(pa.array(fresh, pa.bool_()))
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row; the smallest id reachable by links.
+    return keyed.mapInArrow(run, "key long, text string")
 
-    Null and wordless texts have an empty set and are alone. Rows with a null id are
-    linked like others but never name a component; a component of only such rows has a
-    null id. Repeated rows are linked with each other; an empty table gives an empty
-    result; further columns are ignored.
-    """
+
+def grouped_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, key, n, component, component_id`` per row; ``component`` is null for empty sets."""
     told = described(docs, doc_id, text)
     sets = told.where("kind = 0")
     common = common_shingles(told)
     members = cut(shared_signatures(docs, common, text), "near_members")
-    wanted = members.select("node").distinct().join(
-        sets.where("n > 0").groupBy(F.col("name").alias("node")).agg(F.min("id").alias("id")), "node"
+    nodes = (
+        sets.where("n > 0")
+        .groupBy(F.col("name").alias("node"))
+        .agg(F.min("key").alias("key"), F.max(F.struct("n", "sketch")).alias("s"))
+        .join(members.select("node").distinct(), "node", "left_semi")
     )
-    keyed = own_names(docs, doc_id, text).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = cut(keyed.join(wanted, "id").groupBy("node").agg(F.max("text").alias("text")), "near_texts")
-    links = None
-    for _ in range(STAR_ROUNDS):
-        found = verified(_star_pairs(_labelled(members, links)), texts)
-        links = cut(found if links is None else links.unionByName(found), "near_links")
-    rest = verified(_remaining_pairs(_labelled(members, links)), texts)
-    links = cut(links.unionByName(rest), "near_links")
-    known = components(links, "near_components")
-    named = (
+    nodes = cut(nodes.select("node", "key", "s.n", "s.sketch"), "near_nodes")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return verified(cut(alike(pairs, nodes), "near_pairs"), nodes, docs, doc_id, text)
+
+    links = link_groups(members, linked)
+    known = components(links, "near_components").withColumnRenamed("node", "name")
+    named = cut(
         sets.where("n > 0")
         .groupBy("name")
         .agg(F.min("id").alias("least"))
-        .join(known.withColumnRenamed("node", "name"), "name", "left")
-        .withColumn("component", F.coalesce("component", "name"))
+        .join(known, "name", "left")
+        .withColumn("component", F.coalesce("component", "name")),
+        "near_named",
     )
-    named = cut(named, "near_named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_name = named.join(least, "component").select("name", "component_id")
-    alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    linked = sets.where("n > 0").join(by_name, "name").select("id", "n", "component_id")
-    return linked.unionByName(alone).select(
+    by_name = named.join(least, "component").select("name", "component", "component_id")
+    alone = sets.where("n = 0").select("id", "key", "n", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    linked_rows = sets.where("n > 0").join(by_name, "name").select("id", "key", "n", "component", "component_id")
+    return linked_rows.unionByName(alone)
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row; the smallest id reachable by links.
+
+    Null and wordless texts have an empty set and are alone. Rows with a null id are
+    linked like others but never name a component; a component of only such rows has a
+    null id. Repeated rows are linked with each other; an empty table gives an empty
+    result; further columns are ignored. Ids are integers.
+    """
+    return grouped_rows(docs, doc_id, text).select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that of the smallest id, with all its columns.
+
+    Texts without words are linked with nothing, so all of them stay.
+    """
+    rows = cut(grouped_rows(docs, doc_id, text), "near_rows")
+    kept = (
+        rows.where("n > 0")
+        .groupBy("component")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("row"))
+        .select(F.col("row.key").alias("key"), F.lit(True).alias("once"))
+    )
+    wordless = rows.where("n = 0").select("key", F.lit(False).alias("once")).distinct()
+    keyed = packed(docs, key=F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    copies = Window.partitionBy("key").orderBy("key")
+    return (
+        keyed.join(kept.unionByName(wordless), "key")
+        .withColumn("copy", F.row_number().over(copies))
+        .where("not once or copy = 1")
+        .select("row.*")
+    )
