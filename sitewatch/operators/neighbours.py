@@ -261,7 +261,7 @@ def planar_neighbours(points: DataFrame, k: int, x: str = "x", y: str = "y") ->
 
 # --- vectors of any length ------------------------------------------------------
 
-MAX_PIVOTS = 512  # bound of the broadcast pivot table
+LEAST_MOST_PIVOTS = 512  # more than this many pivots only as the root of the row count
 TILE_ROWS = 2_000
 BLOCK_ROWS = 20_000
 
@@ -283,7 +283,8 @@ def vector_neighbours(vectors: DataFrame, k: int, column: str = "vector") -> Dat
         F.transform(column, lambda v: v.cast("double")).alias("vector"),
     )
     n = rows.count()
-    wanted = int(min(MAX_PIVOTS, max(1, n // TILE_ROWS)))
+    # Pivots grow as the root of n, so tables of pivots stay small and tiles do not grow as n.
+    wanted = max(1, min(n // TILE_ROWS, max(LEAST_MOST_PIVOTS, math.isqrt(n))))
     chosen = rows.orderBy(F.xxhash64("site_id"), "site_id").limit(wanted).collect()
     if not chosen:
         return rows.select(
@@ -314,7 +315,7 @@ def vector_neighbours(vectors: DataFrame, k: int, column: str = "vector") -> Dat
         "members",
         F.when(F.col("_held") >= k + 1, 2 * F.col("radius") + F.col("_kth")).alias("limit"),
     )
-    table = bounds.collect()  # at most MAX_PIVOTS rows of three numbers
+    table = bounds.collect()  # one row of three numbers per pivot
     limits = np.full(len(pivots), -1.0)
     parts = np.zeros(len(pivots), dtype=int)
     for r in table:
