@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import own_names, text_or_empty
@@ -93,28 +93,29 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def gram_rows(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, gram`` for n-grams whose first word occurs in a template, each once."""
+    """``keys, gram`` for n-grams whose first word occurs in a template, each once.
+
+    A paragraph is one row until here, so its n-grams are told apart without a shuffle.
+    """
     pairs = F.arrays_zip(F.col("words").alias("one"), F.expr("slice(words, 2, greatest(size(words), 1))").alias("two"))
-    met = paragraphs.select(*keys, F.explode(pairs).alias("pair")).where(F.col("pair.one").isin(*WORDS))
-    both = F.array(F.col("pair.one"), F.concat_ws(" ", "pair.one", "pair.two"))
-    return met.select(*keys, F.explode(F.when(F.col("pair.two").isNull(), F.array("pair.one")).otherwise(both)).alias("gram"))
+    met = F.filter(pairs, lambda p: p["one"].isin(*WORDS))
+    both = F.transform(
+        met,
+        lambda p: F.when(p["two"].isNull(), F.array(p["one"])).otherwise(
+            F.array(p["one"], F.concat_ws(" ", p["one"], p["two"]))
+        ),
+    )
+    return paragraphs.select(*keys, F.explode(F.array_distinct(F.flatten(both))).alias("gram"))
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     """Fit on the templates and a bounded number of corpus paragraphs."""
     spark = docs.sparkSession
-    lines = F.explode(F.split(text_or_empty(text), "\n"))
-    sample = [
-        r["line"]
-        for r in own_names(docs, text)
-        .select(lines.alias("line"))
-        .where(F.length("line") > 0)
-        .groupBy(F.xxhash64("line").alias("h"))
-        .agg(F.min("line").alias("line"))
-        .orderBy("h")
-        .limit(TRAINING_PARAGRAPHS)
-        .collect()
-    ]
+    lines = own_names(docs, text).select(F.explode(F.split(text_or_empty(text), "\n")).alias("line")).where("line <> ''")
+    hashed = lines.withColumn("h", F.xxhash64("line"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(TRAINING_PARAGRAPHS)
+    told = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("line").alias("line"))
+    sample = [r["line"] for r in told.orderBy("h").collect()]
     known = {t: set(grams(t)) for texts in TEMPLATES.values() for t in texts}
     plain = [s for s in sample if not any(len(g & set(grams(s))) >= CONFIRMED * len(g) for g in known.values())]
     rows = [(grams(s), float(len(FAMILIES))) for s in (*plain, "", "the license of this work", "see the terms of use")]
@@ -157,19 +158,28 @@ def scan(docs: DataFrame, model: Classifier | None = None, doc_id: str = "doc_id
     model = model or train(docs, doc_id, text)
     spark = docs.sparkSession
     keys = [doc_id, "text_key", "paragraph"]
-    met = gram_rows(paragraphs(docs, doc_id, text), keys).distinct()
+    met = gram_rows(paragraphs(docs, doc_id, text), keys)
     classes = range(len(FAMILIES) + 1)
     holds = [
         (gram, number) for number, t in enumerate(t for f in FAMILIES for t in TEMPLATES[f]) for gram in grams(t)
     ]
     sizes = [len(grams(t)) for f in FAMILIES for t in TEMPLATES[f]]
     family_of = [k for k, f in enumerate(FAMILIES) for _ in TEMPLATES[f]]
+    # Found n-grams per template, four counts of 16 bits in a number: a row stays short.
     # Both tables have a row per n-gram of the templates: a few hundred, fixed in the code.
     holding = (
         spark.createDataFrame(holds, "gram string, template int").groupBy("gram").agg(F.collect_set("template").alias("in"))
     )
     weights = holding.join(model.weights, "gram", "left")
-    found = [F.count(F.when(F.array_contains("in", n), 1)).alias(f"t{n}") for n in range(len(sizes))]
+    groups = [range(first, min(first + 4, len(sizes))) for first in range(0, len(sizes), 4)]
+    found = [
+        F.sum(sum((F.when(F.array_contains("in", n), 1 << 16 * (n - g[0])).otherwise(0) for n in g), F.lit(0).cast("long"))).alias(f"t{g[0]}")
+        for g in groups
+    ]
+
+    def count_of(n: int) -> Column:
+        return F.shiftright(f"t{n - n % 4}", 16 * (n % 4)).bitwiseAND(F.lit(0xFFFF))
+
     summed = (
         met.join(F.broadcast(weights), "gram")
         .groupBy(*keys)
@@ -178,7 +188,7 @@ def scan(docs: DataFrame, model: Classifier | None = None, doc_id: str = "doc_id
     raw = [F.col(f"w{k}") + F.lit(model.intercepts[k]) for k in classes]
     top = F.greatest(*raw)
     total = sum((F.exp(x - top) for x in raw[1:]), F.exp(raw[0] - top))
-    shares = [F.greatest(F.lit(0.0), *[F.col(f"t{n}") / sizes[n] for n, o in enumerate(family_of) if o == k]) for k in range(len(FAMILIES))]
+    shares = [F.greatest(F.lit(0.0), *[count_of(n) / sizes[n] for n, o in enumerate(family_of) if o == k]) for k in range(len(FAMILIES))]
     verdicts = F.array(
         *[
             F.struct(
