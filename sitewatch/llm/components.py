@@ -60,15 +60,16 @@ def _print(edges: DataFrame) -> tuple:
 def link_groups(members: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links ``a, b`` with the components of all pairs that share a signature and are linked.
 
-    ``members`` has ``signature, node``; ``linked`` returns those of the pairs ``a, b``
-    that are links. Few pairs are asked where groups are large: see the single steps. At
+    ``members`` has ``signature, node, slack``; two nodes are a pair of a signature if
+    their slacks add up to zero or less. ``linked`` returns the pairs ``a, b`` that are
+    links. Few pairs are asked where groups are large: see the single steps. At
     the end every pair of one signature has been asked or lies in one component.
     """
     links = cut(linked(_first_pairs(members)), "links")
     open_ones = _labelled(members, links)
     for _ in range(STAR_ROUNDS):
         links = cut(links.unionByName(linked(_star_pairs(open_ones))), "links")
-        open_ones = _labelled(open_ones.select("signature", "node"), links)
+        open_ones = _labelled(open_ones.drop("component"), links)
     return cut(links.unionByName(linked(_remaining_pairs(open_ones))), "links")
 
 
@@ -79,7 +80,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     open_ones = (
         named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("signature")
     )
-    left = members.join(cut(open_ones, "group_signatures"), "signature").select("signature", "node")
+    left = members.join(cut(open_ones, "group_signatures"), "signature").select("signature", "node", "slack")
     named = left.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return cut(named, "group_open")
 
@@ -93,17 +94,18 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 
 def _star_pairs(labelled: DataFrame) -> DataFrame:
-    """Per signature, one node of every component against that of the least component.
+    """Per signature, one node of every component against the node of the least slack.
 
     Two components that meet in many signatures are asked once in a round.
     """
-    each = cut(labelled.groupBy("signature", "component").agg(F.min("node").alias("node")), "group_each")
+    each = labelled.groupBy("signature", "component").agg(F.min(F.struct("slack", "node")).alias("s"))
+    each = cut(each.select("signature", "component", "s.slack", "s.node"), "group_each")
     least = (
         each.groupBy("signature")
-        .agg(F.min(F.struct("component", "node")).alias("least"))
-        .select("signature", F.col("least.component").alias("own"), F.col("least.node").alias("head"))
+        .agg(F.min(F.struct("slack", "component", "node")).alias("l"))
+        .select("signature", F.col("l.component").alias("own"), F.col("l.node").alias("head"), F.col("l.slack").alias("low"))
     )
-    met = each.join(least, "signature").where("component <> own")
+    met = each.join(least, "signature").where("component <> own and slack + low <= 0")
     return _pairs(
         met.groupBy("own", "component").agg(F.min(F.struct("head", "node")).alias("p")).select("p.head", "p.node")
     )
@@ -123,6 +125,6 @@ def _remaining_pairs(labelled: DataFrame) -> DataFrame:
         .select("signature", F.col("top.component").alias("largest"))
     )
     told = cut(labelled.join(largest, "signature"), "group_told")
-    minor = told.where("component <> largest").select("signature", F.col("node").alias("m"), F.col("component").alias("c"))
-    other = told.select("signature", "node", "component")
-    return _pairs(minor.join(other, "signature").where("c <> component").select("m", "node"))
+    minor = told.where("component <> largest").select("signature", F.col("node").alias("m"), F.col("component").alias("c"), F.col("slack").alias("s"))
+    other = told.select("signature", "node", "component", "slack")
+    return _pairs(minor.join(other, "signature").where("c <> component and s + slack <= 0").select("m", "node"))

@@ -122,8 +122,15 @@ def bands(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         low, high, band = high, high * BAND_STEP, band + 1
 
 
-def signatures(value: np.ndarray, start: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, whether its block is of common shingles) for all sets.
+def signatures(
+    value: np.ndarray, start: np.ndarray, common: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, whether its block is of common shingles, slack) for all sets.
+
+    The blocks before the first one that two sets share all differ, p of one and q of the
+    other, so p + q may not exceed (x + y) / 7. With the slack 7p - x of a signature, two
+    sets can be linked by their first common signature only if their slacks add up to
+    zero or less.
 
     The sketch has 2^64 bits and is kept as the places of its ones, which are the hashes
     themselves; a block is a range of places.
@@ -151,9 +158,10 @@ def signatures(value: np.ndarray, start: np.ndarray, common: np.ndarray) -> tupl
         place = np.arange(len(o)) - (np.cumsum(per_set) - per_set)[o]
         needed = place <= sizes[o] // 3
         name = mixed(content[needed] + mixed(block[needed] * np.uint64(64) + np.uint64(band * 2) + f[needed]))
-        out.append((name.view(np.int64), o[needed], f[needed]))
+        slack = 7 * place[needed] - sizes[o[needed]]
+        out.append((name.view(np.int64), o[needed], f[needed], slack.astype(np.int32)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -261,7 +269,7 @@ def common_shingles(told: DataFrame) -> np.ndarray:
 
 
 def shared_signatures(docs: DataFrame, common: np.ndarray, text: str) -> DataFrame:
-    """``signature, node`` of signatures that several nodes (may) share."""
+    """``signature, node, slack`` of signatures by which several nodes may be linked."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     source = own_names(docs, text).select(F.col(text).alias("text"))
 
@@ -276,21 +284,32 @@ def shared_signatures(docs: DataFrame, common: np.ndarray, text: str) -> DataFra
                 seen = np.union1d(seen, names[once])
                 sizes = np.diff(start)
                 mine = np.isin(np.repeat(np.arange(len(names)), sizes), once)
-                told, owner, frequent = signatures(value[mine], np.append(0, np.cumsum(sizes[once])), shared.value)
+                told, owner, frequent, slack = signatures(value[mine], np.append(0, np.cumsum(sizes[once])), shared.value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(told), pa.array(names[once][owner]), pa.array(frequent)], ["signature", "node", "frequent"]
+                    [pa.array(told), pa.array(names[once][owner]), pa.array(frequent), pa.array(slack)],
+                    ["signature", "node", "frequent", "slack"],
                 )
 
     split = F.when(F.col("frequent"), F.pmod("node", F.lit(SPLITS))).otherwise(0).cast("int")
     group = Window.partitionBy("signature", "_split")
-    return (
-        source.mapInArrow(run, "signature long, node long, frequent boolean")
+    told = (
+        source.mapInArrow(run, "signature long, node long, frequent boolean, slack int")
         .withColumn("_split", split)
-        .withColumns({"_least": F.min("node").over(group), "_most": F.max("node").over(group)})
-        .where("frequent or _least <> _most")
+        .withColumns({
+            "_least": F.min("node").over(group),
+            "_most": F.max("node").over(group),
+            "_low": F.min("slack").over(group),
+        })
+        .where("frequent or (_least <> _most and slack + _low <= 0)")
         .dropDuplicates(["signature", "_split", "node"])  # in place: rows of a split lie together
-        .select("signature", "node")
+        .select("signature", "node", "slack", "frequent")
     )
+    told = cut(told, "near_shared")
+    # Common signatures were dealt to several splits, so their least slack is found here.
+    often = told.where("frequent")
+    low = often.groupBy("signature").agg(F.min("slack").alias("low"))
+    often = often.join(low, "signature").where("slack + low <= 0")
+    return told.where("not frequent").unionByName(often.drop("low")).drop("frequent")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:

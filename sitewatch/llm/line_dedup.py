@@ -169,8 +169,8 @@ def shared_keys(docs: DataFrame, text: str) -> DataFrame:
         source.mapInArrow(run, "signature long, node long, split int")
         .withColumns({"_least": F.min("node").over(group), "_most": F.max("node").over(group)})
         .where("split > 0 or _least <> _most")
-        .select("signature", "node")
-        .distinct()
+        .dropDuplicates(["signature", "split", "node"])  # in place: rows of a split lie together
+        .select("signature", "node", F.lit(0).alias("slack"))
     )
 
 

@@ -110,8 +110,9 @@ def test_linked_sets_share_a_signature(numbers, data):
     hashed = [np.sort(jaccard_join.mixed(np.array(sorted(s), np.uint64))) for s in (one, two)]
     value, start = np.concatenate(hashed), np.cumsum([0, len(one), len(two)])
     for common in (np.zeros(0, np.uint64), np.sort(hashed[0][::3])):
-        name, owner, _ = signatures(value, start, common)
-        assert set(name[owner == 0]) & set(name[owner == 1])
+        name, owner, _, slack = signatures(value, start, common)
+        of = [dict(zip(name[owner == i].tolist(), slack[owner == i].tolist(), strict=True)) for i in (0, 1)]
+        assert any(of[0][x] + of[1][x] <= 0 for x in set(of[0]) & set(of[1]))
     sketches = short_sketches(value, start)
     assert hamming(*sketches) <= len(one ^ two)
 

@@ -37,14 +37,15 @@ def test_run_against_plain_python(spark, make, label, tmp_path):
     staying = [(i, t) for (i, t), (_, _, least) in zip(sorted(staying), near.brute(sorted(staying)), strict=True) if least == i]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:3]:
+    for name, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == columns, name
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    assert sorted(r["doc_id"] for r in docs.collect()) == sorted(i for i, _ in staying)
+        if name == "jaccard_join":
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(i for i, _ in staying)
+    out = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.TOKENIZER))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     texts = dict(staying)
     assert out and {r["doc_id"] for r in out} <= set(texts)
     for r in out:
