@@ -186,7 +186,7 @@ def _blocks_of(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame
                     [page_id, url, "_key", "lines", "inside"],
                 )
 
-    return cut(kept.mapInArrow(run, schema), "page_blocks")
+    return kept.mapInArrow(run, schema)
 
 
 def nearest_pages(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -223,8 +223,8 @@ def nearest_pages(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def shared_lines(lines: DataFrame, partners: DataFrame) -> DataFrame:
-    """``_key, shared``: indices of the lines that a page shares with its partner."""
-    hashes = lines.select("_key", F.transform("lines", lambda x: F.xxhash64(x)).alias("own")).dropDuplicates(["_key"])
+    """``_key, shared``: indices of the lines, given as hashes, that a page shares."""
+    hashes = lines.select("_key", "own").dropDuplicates(["_key"])
     other = hashes.select(F.col("_key").alias("partner"), F.col("own").alias("theirs"))
     both = hashes.join(partners, "_key").join(other, "partner").select("_key", "own", "theirs")
 
@@ -250,7 +250,10 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     columns are ignored.
     """
     found = _blocks_of(pages, page_id, url, page)
-    told = cut(shared_lines(found, nearest_pages(found, url)), "page_shared")
+    # Pages are cut into blocks twice, which is cheaper than to keep all texts meanwhile.
+    hashed = found.select("_key", url, F.transform("lines", lambda x: F.xxhash64(x)).alias("own"))
+    hashed = cut(hashed, "page_lines")
+    told = cut(shared_lines(hashed, nearest_pages(hashed, url)), "page_shared")
     joined = found.join(told, "_key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
     marked = F.exists("inside", lambda i: i)
     alike = F.size("shared") == F.size("lines")
