@@ -2,13 +2,14 @@
 
 A page's mark-up is cut into blocks, the text lines of the page, without what its tags
 and names call menus, headers, footers, side bars, notices, adverts, forms, scripts,
-styles or comments. Pages are then put in the order of host and URL path, and each is
-paired with the neighbour of its own host whose path is nearer. Their lines are aligned by
-the longest common subsequence; shared lines are what the site repeats, and go. Lines in
-an ``article`` or ``main`` element are the exception: the mark-up says that they are
-content, also where two pages carry the same passage. Such an element also rules out
-everything around it. Where all lines of a page are shared, pages are copies of each
-other and nothing tells the site's lines apart, so they stay.
+styles or comments. Names count as a whole, and not on an element around the page's main
+element, heading or only article. Pages are then put in the order of host and URL path,
+and each is paired with the neighbour of its own host whose path is nearer. Their lines
+are aligned by the longest common subsequence; shared lines are what the site repeats,
+and go, on every page. An ``article`` or ``main`` element is evidence only against
+deleting a shared passage in it; lines outside that no other page shares stay. Where all
+lines of a page are shared and none is in such an element, pages are copies of each other
+and nothing tells the site's lines apart, so they stay.
 
 Only hashes of lines travel to the partner's task, and every page is the partner of two
 others at most, so a host may hold any share of the pages.
@@ -16,6 +17,7 @@ others at most, so a host may hold any share of the pages.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -51,70 +53,131 @@ APART_WORDS = frozenset(
     " cookie cookies consent notice notices popup modal newsletter subscribe signup login share sharing social related"
     " recommended widget contentinfo complementary search toolbar pagination pager".split()
 )
+# Words that may stand beside them in one name, such as ``post-comments`` or ``left-sidebar``.
+BESIDE_WORDS = frozenset(
+    "site page post posts main primary secondary top bottom left right list box bar area section block unit slot links"
+    " items button buttons icons form thread".split()
+)
 
 
-def _set_apart(name: str, attributes: str) -> bool:
-    if name in APART:
-        return True
-    if name in MAIN or name in ("html", "body") or not attributes:
-        return False
-    words = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower()
-    return not APART_WORDS.isdisjoint(re.split("[^a-z]+", words))
+def _named_apart(attributes: str) -> bool:
+    """Whether a whole name of the element, with no words but these, means no main text."""
+    for a, b, c in NAMED.findall(attributes):
+        for name in (a or b or c).lower().split():
+            words = {w for w in re.split("[^a-z]+", name) if w}
+            if not words.isdisjoint(APART_WORDS) and words <= APART_WORDS | BESIDE_WORDS:
+                return True
+    return False
+
+
+def _tags(page: str) -> list[tuple[int, int, str, bool, bool, str]]:
+    """(start, end, name, closing, empty, attributes); start and end span what is no text."""
+    found: list[tuple[int, int, str, bool, bool, str]] = []
+    at = 0
+    while tag := TAG.search(page, at):
+        start, at = tag.start(), max(tag.end(), tag.start() + 1)
+        name = (tag[2] or "").lower()
+        closing, empty = bool(tag[1]), name in VOID or (tag[3] or "").endswith("/")
+        if name in UNREAD:
+            if not closing and not empty:
+                close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+                at = close.end() if close else len(page)
+            name = ""
+        found.append((start, at, name, closing, empty, tag[3] or ""))
+    return found
+
+
+def _closed_at(tags: list[tuple[int, int, str, bool, bool, str]]) -> dict[int, int]:
+    """The closing tag of every opening tag that has one, as indices."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, (_, _, name, closing, empty, _) in enumerate(tags):
+        if closing:
+            if opened.get(name):
+                ends[opened[name].pop()] = i
+        elif name and not empty:
+            opened.setdefault(name, []).append(i)
+    return ends
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """Text blocks in page order and whether each lies in an article or main element."""
-    found: list[tuple[str, bool]] = []
+    """Text blocks in page order and whether each lies in the page's article.
+
+    That is its only article, or of several the one with the heading; where there is no
+    article, the ``main`` element. Comments and teasers in articles of their own are none.
+    """
+    tags = _tags(page)
+    ends = _closed_at(tags)
+    opening = [i for i, t in enumerate(tags) if t[2] and not t[3]]
+    mains, heads, articles = ([i for i in opening if tags[i][2] == n] for n in ("main", "h1", "article"))
+    # An element around what tells the story is a wrapper, whatever it is called.
+    story = mains or heads or (articles if len(articles) == 1 else [])
+
+    def apart(i: int) -> bool:
+        name, empty, attributes = tags[i][2], tags[i][4], tags[i][5]
+        if name in APART and name != "form":
+            return True
+        if empty or name in ("main", "html", "body"):
+            return False
+        if name != "form" and not (attributes and _named_apart(attributes)):
+            return False
+        at = bisect.bisect_left(story, i)
+        return not (i in ends and at < len(story) and story[at] <= ends[i])
+
+    found: list[tuple[str, int]] = []  # text, and its article, else its main element, else -1
     pieces: list[str] = []
-    apart: str | None = None  # the element that is being skipped, and how deep it is nested
-    depth = inside = 0
+    tops: list[int] = []  # articles that lie in no other
+    nested: list[tuple[str, int]] = []
+    own = -1
+    stop = False  # within an element that is never closed, which does not hide an article
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            found.append((text, inside > 0))
-
-    at = 0
-    while at < len(page):
-        tag = TAG.search(page, at)
-        end = tag.start() if tag else len(page)
-        if end > at and apart is None:
-            pieces.append(html.unescape(page[at:end]))
-        if not tag:
-            break
-        at = max(tag.end(), at + 1)
-        name = (tag[2] or "").lower()
+            found.append((text, own))
+
+    at = i = 0
+    while i <= len(tags):
+        start, end, name, closing, empty, _ = tags[i] if i < len(tags) else (len(page), len(page), "", False, False, "")
+        if start > at and not stop:
+            pieces.append(html.unescape(page[at:start]))
+        at, i = end, i + 1
         if not name:
             continue
-        closing, empty = bool(tag[1]), name in VOID or (tag[3] or "").endswith("/")
-        if name in UNREAD:
-            if not closing and not empty:
-                close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = close.end() if close else len(page)
-            continue
-        if apart is not None:
-            if name in MAIN and not closing:
-                apart = None  # an element that was never closed does not hide the article
-            else:
-                if name == apart and not empty:
-                    depth += -1 if closing else 1
-                    if depth == 0:
-                        apart = None
+        if stop:
+            if name not in MAIN or closing or apart(i - 1):
                 continue
-        if name in INLINE:
+            stop = False
+        out = not closing and not empty and apart(i - 1)
+        if name in INLINE and not out:
             if name == "br":
                 pieces.append(" ")
-            if not (not closing and not empty and _set_apart(name, tag[3])):
-                continue
+            continue
         flush()
-        if name in MAIN:
-            inside = max(0, inside + (-1 if closing else 1))
-        elif not closing and not empty and _set_apart(name, tag[3]):
-            apart, depth = name, 1
-    if apart is None:
+        if out:
+            if i - 1 in ends:
+                i = ends[i - 1]
+                at, i = tags[i][1], i + 1
+            else:
+                stop = True
+        elif name in MAIN and not empty:
+            if not closing:
+                nested.append((name, i - 1))
+                if name == "article" and sum(n == name for n, _ in nested) == 1:
+                    tops.append(i - 1)
+            elif any(n == name for n, _ in nested):
+                while nested.pop()[0] != name:
+                    pass
+            inner = [k for n, k in nested if n == "article"] or [k for _, k in nested]
+            own = inner[0] if inner else -1
+    if not stop:
         flush()
-    return found
+    if len(tops) > 1:
+        tops = [k for k in tops if (h := bisect.bisect_left(heads, k)) < len(heads) and heads[h] < ends.get(k, len(tags))]
+        tops = tops if len(tops) == 1 else []
+        return [(text, k in tops) for text, k in found]
+    return [(text, k in tops if tops else k >= 0) for text, k in found]
 
 
 def common_lines(one: list[int], two: list[int]) -> list[int]:
@@ -258,8 +321,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     marked = F.exists("inside", lambda i: i)
     alike = F.size("shared") == F.size("lines")
     kept = F.filter(
-        "lines",
-        lambda _, i: F.when(marked, F.get("inside", i)).otherwise(alike | ~F.array_contains("shared", i)),
+        "lines", lambda _, i: F.get("inside", i) | (alike & ~marked) | ~F.array_contains("shared", i)
     )
     text = F.array_join(kept, "\n\n")
     return joined.select(

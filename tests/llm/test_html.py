@@ -93,6 +93,31 @@ def test_shared_lines_go_and_articles_stay(spark):
     assert html.main_text(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div id=story><h1>H</h1><p>s</p></div><article class=teaser><p>t</p></article><article><p>u</p></article>", [("H", False), ("s", False), ("t", False), ("u", False)]),
+        ("<p>o</p><article><h1>H</h1><p>s</p></article><article class=comment><p>c</p></article>", [("o", False), ("H", True), ("s", True)]),
+        ("<div class='layout has-sidebar'><p>s</p></div>", [("s", False)]),
+        ("<div class=banner><main><p>s</p></main></div>", [("s", True)]),
+        ("<aside><article><p>t</p></article></aside><p>s</p>", [("s", False)]),
+        ("<form><article><p>s</p></article></form>", [("s", True)]),
+        ("<article><h1>H</h1></article><article><p>t</p></article>", [("H", True), ("t", False)]),
+    ],
+)
+def test_articles_are_evidence_and_names_count_as_a_whole(page, want):
+    assert blocks(page) == want
+
+
+def test_differencing_decides_pages_with_articles(spark):
+    page = "<p>Site name</p><div><h1>{0}</h1><p>story {0}</p></div><article><p>teaser</p></article><article><p>other</p></article>"
+    whole = "<p>Site name</p><p>by {0}</p><article><p>{0}</p><p>same passage</p></article>"
+    rows = [(1, "http://a.example/1", page.format("one")), (2, "http://a.example/2", page.format("two")),
+            (3, "http://b.example/1", whole.format("three")), (4, "http://b.example/2", whole.format("four"))]
+    out = {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows)).collect()}
+    assert out == {1: "one\n\nstory one", 2: "two\n\nstory two", 3: "by three\n\nthree\n\nsame passage", 4: "by four\n\nfour\n\nsame passage"}
+
+
 def test_partner_is_the_nearer_neighbour_however_the_table_is_cut(spark):
     from pyspark.sql import functions as F
 
