@@ -127,10 +127,12 @@ def signatures(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, set, whether its block is of common shingles, slack) for all sets.
 
-    The blocks before the first one that two sets share all differ, p of one and q of the
-    other, so p + q may not exceed (x + y) / 7. With the slack 7p - x of a signature, two
-    sets can be linked by their first common signature only if their slacks add up to
-    zero or less.
+    Before the first signature that two sets share, count the blocks with a single shingle,
+    p of one set and q of the other. Each stands for a difference of its own: either its
+    shingle is missing in the other set, or the other set holds more in that block, which
+    then does not count there, and one of these is missing here. So p + q may not exceed
+    (x + y) / 7. With the slack 7p - x of a signature, two sets can be linked by their
+    first common signature only if their slacks add up to zero or less.
 
     The sketch has 2^64 bits and is kept as the places of its ones, which are the hashes
     themselves; a block is a range of places.
@@ -152,13 +154,16 @@ def signatures(
             continue
         block = v >> np.uint64(64 - power)
         head = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (o[1:] != o[:-1]) | (f[1:] != f[:-1])))
+        single = np.diff(np.append(head, len(v))) == 1
         content = np.add.reduceat(mixed(v + _ODD), head)
         o, f, block = o[head], f[head], block[head]
         per_set = np.bincount(o, minlength=len(sizes))
         place = np.arange(len(o)) - (np.cumsum(per_set) - per_set)[o]
         needed = place <= sizes[o] // 3
+        passed = np.cumsum(single) - single
+        passed -= passed[np.append(0, np.cumsum(per_set)[:-1])[o]]
         name = mixed(content[needed] + mixed(block[needed] * np.uint64(64) + np.uint64(band * 2) + f[needed]))
-        slack = 7 * place[needed] - sizes[o[needed]]
+        slack = 7 * passed[needed] - sizes[o[needed]]
         out.append((name.view(np.int64), o[needed], f[needed], slack.astype(np.int32)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)

@@ -117,6 +117,19 @@ def test_linked_sets_share_a_signature(numbers, data):
     assert hamming(*sketches) <= len(one ^ two)
 
 
+def test_blocks_of_several_shingles_do_not_rule_a_link_out():
+    """1,024 blocks; c and a1 share one, which is a single difference of the two sets."""
+    at = lambda block, low: (block << 54) + low
+    frequent = [at(600 + k, 7) for k in range(17)]
+    c, a1, a2 = at(500, 1), at(500, 2), at(1, 3)
+    one, two = {*frequent, c, a1, a2}, {*frequent, c, *(at(k, 4) for k in range(2, 6))}
+    assert (len(one), len(two), len(one & two), len(one | two)) == (20, 22, 18, 24)
+    sets = [np.sort(np.array(sorted(s), np.uint64)) for s in (one, two)]
+    name, owner, _, slack = signatures(np.concatenate(sets), np.array([0, 20, 42]), np.array(frequent, np.uint64))
+    of = [dict(zip(name[owner == i].tolist(), slack[owner == i].tolist(), strict=True)) for i in (0, 1)]
+    assert any(of[0][s] + of[1][s] <= 0 for s in set(of[0]) & set(of[1]))
+
+
 def test_sets_equal_plain_sets():
     texts = [t for _, t in near_copies(2, 40)] + ["", None, "a", "a b c d", "a b c d e", "x " * 50, "\xa0a b"]
     value, start = Shingler().sets(texts)
