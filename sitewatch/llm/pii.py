@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks.
 
 Candidates are found by patterns and validated: card numbers by the Luhn sum, account
-numbers by the remainder by 97, addresses by their octets, dates by the calendar. What
+numbers by the length of their country and the remainder by 97, addresses by their
+octets, dates by the calendar, with the day first where both orders are possible. What
 fails stays as it is. A valid value is permuted within its format under a key, so equal
 values stay equal and different values stay different in all documents, and the result
 is valid again: card and account numbers get new check digits.
@@ -29,14 +30,28 @@ ROUNDS = 8
 DEFAULT_KEY = "set a key of your own"
 DAYS = (189, 773)  # factors of the days in 400 years
 FIRST_DAY = "1800-01-01"
+WALK = 48  # repeated permutations at most; 2 of 5 days of a month are below 13
 # Patterns of candidates, in the order in which they are tried at a place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"
+# Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = r"\b(?=[A-Z]{2}\d{2})(?:" + "|".join(
+    rf"(?:{n.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(size - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+    for size, n in IBAN_LENGTHS.items()
+) + r")\b"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
-DAY_FIRST = r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?![\d/])"
+DAY_FIRST = r"(?<![\d./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\d/])"
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = "(?:" + "|".join(f"{m}|{m[:3]}\\.?" if m != "May" else m for m in MONTHS) + "|Sept\\.?)"
+WRITTEN = rf"(?<![\d.,/-])\d{{1,2}}(?:st|nd|rd|th)? (?:of )?{MONTH},? \d{{4}}\b|\b(?=[JFMASOND]){MONTH} \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}\b"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 SECRET = r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}\b"
-CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\d-])"
+CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{5}))(?![\d-])"
 TAX = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 KINDS = {
@@ -44,6 +59,7 @@ KINDS = {
     "iban": IBAN,
     "iso_date": ISO_DATE,
     "day_first": DAY_FIRST,
+    "written": WRITTEN,
     "address": ADDRESS,
     "secret": SECRET,
     "card": CARD,
@@ -165,6 +181,10 @@ def valid_iban(value: Column) -> Column:
     return _is(value, "iban") & (remainder_97(_moved_to_end(value)) == 1)
 
 
+def _after_four(value: Column) -> Column:
+    return F.regexp_replace(F.substr(value, F.lit(5), F.length(value)), "^ ", "")
+
+
 def _octets(value: Column) -> Column:
     return F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
 
@@ -173,10 +193,21 @@ def valid_address(value: Column) -> Column:
     return _is(value, "address") & F.forall(_octets(value), lambda o: o.between(0, 255))
 
 
+def _month_number(value: Column) -> Column:
+    """The month that a written date names."""
+    short = F.regexp_extract(value, "(" + "|".join(m[:3] for m in MONTHS) + ")", 1)
+    return F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), short)
+
+
 def _as_date(value: Column, kind: str) -> Column:
     if kind == "iso_date":
         return F.try_to_date(value, "yyyy-MM-dd")
-    return F.try_to_date(F.regexp_replace(value, "/", "."), "dd.MM.yyyy")
+    year = F.regexp_extract(value, r"(\d{4})$", 1)
+    if kind == "written":
+        day = F.regexp_extract(value, r"(?:^|[^\d])(\d{1,2})(?!\d)", 1)
+        return F.try_to_date(F.concat_ws("-", year, _month_number(value).cast("string"), day), "yyyy-M-d")
+    plain = F.regexp_replace(value, "/", ".")
+    return F.coalesce(F.try_to_date(plain, "d.M.yyyy"), F.try_to_date(plain, "M.d.yyyy"))
 
 
 def _days(value: Column, kind: str) -> Column:
@@ -210,12 +241,44 @@ def _new_address(value: Column, key: str) -> Column:
 
 def _new_date(value: Column, kind: str, key: str) -> Column:
     days = _days(value, kind)
-    done = permute_pair(F.floor(days / DAYS[1]), days % DAYS[1], DAYS, f"{key}|date")
-    date = F.date_add(F.lit(FIRST_DAY).cast("date"), (done["l"] * DAYS[1] + done["r"]).cast("int"))
+    again = lambda one, two: permute_pair(one, two, DAYS, f"{key}|date")
+    dated = lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
+    done = again(F.floor(days / DAYS[1]), days % DAYS[1])
+    if kind == "day_first":
+        # A date with the month first stays one that cannot be read with the day first.
+        walk = F.aggregate(
+            F.sequence(F.lit(1), F.lit(WALK)), done, lambda p, _: F.when(F.dayofmonth(dated(p)) > 12, p).otherwise(again(p["l"], p["r"]))
+        )
+        month_first = F.try_to_date(F.regexp_replace(value, "/", "."), "d.M.yyyy").isNull()
+        done = F.when(month_first, walk).otherwise(done)
+    date = dated(done)
     if kind == "iso_date":
         return F.date_format(date, "yyyy-MM-dd")
-    first, second = F.substr(value, F.lit(3), F.lit(1)), F.substr(value, F.lit(6), F.lit(1))
-    return F.concat(F.date_format(date, "dd"), first, F.date_format(date, "MM"), second, F.date_format(date, "yyyy"))
+    if kind == "written":
+        return _date_like(value, date)
+    first, second = F.regexp_extract(value, r"^\d+(.)", 1), F.regexp_extract(value, r"(.)\d{4}$", 1)
+    # The parts keep their order; a part of one digit stays one where the new number allows it.
+    widths = [F.length(F.regexp_extract(value, r, 1)) for r in (r"^(\d+)", r"^\d+.(\d+)")]
+    parts = [F.date_format(date, "d"), F.date_format(date, "M")]
+    swapped = [F.when(month_first, parts[1]).otherwise(parts[0]), F.when(month_first, parts[0]).otherwise(parts[1])]
+    one, two = (F.when(w == 2, F.lpad(x, 2, "0")).otherwise(x) for w, x in zip(widths, swapped, strict=True))
+    return F.concat(one, first, two, second, F.date_format(date, "yyyy"))
+
+
+def _date_like(value: Column, date: Column) -> Column:
+    """The date written like ``value``: with the same words, in the same order."""
+    names, shorts = F.array(*map(F.lit, MONTHS)), F.array(*[F.lit(m[:3]) for m in MONTHS])
+    old = F.regexp_extract(value, "([A-Z][a-z]+)", 1)
+    month = F.when(F.array_contains(names, old), F.get(names, F.month(date) - 1)).otherwise(F.get(shorts, F.month(date) - 1))
+    day = F.dayofmonth(date)
+    ending = F.when(day.between(11, 13), "th").otherwise(
+        F.when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    )
+    number = F.when(value.rlike(r"\d(?:st|nd|rd|th)"), F.concat(day.cast("string"), ending)).otherwise(day.cast("string"))
+    dated = F.regexp_replace(value, r"(?<!\d)\d{1,2}(?:st|nd|rd|th)?(?!\d)", "#")
+    dated = F.regexp_replace(dated, r"\d{4}$", "~")
+    dated = F.replace(dated, old, month)
+    return F.replace(F.replace(dated, F.lit("#"), number), F.lit("~"), F.date_format(date, "yyyy"))
 
 
 def _new_phone(value: Column, key: str) -> Column:
@@ -259,9 +322,12 @@ def pseudonym(value: Column, key: str) -> tuple[Column, Column]:
         ("iban", valid_iban(value), lambda: _new_iban(value, key)),
         ("date", valid_date(value, "iso_date"), lambda: _new_date(value, "iso_date", key)),
         ("date", valid_date(value, "day_first"), lambda: _new_date(value, "day_first", key)),
+        ("date", valid_date(value, "written"), lambda: _new_date(value, "written", key)),
         ("address", valid_address(value), lambda: _new_address(value, key)),
         ("secret", _is(value, "secret"), lambda: _new_secret(value, key)),
         ("card", valid_card(value), lambda: _new_card(value, key)),
+        # A card after four characters that made it look like an account number.
+        ("card", _is(value, "iban") & valid_card(_after_four(value)), lambda: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(_after_four(value))), _new_card(_after_four(value), key))),
         ("tax", _is(value, "tax"), lambda: _in_place(value, f"{key}|tax")),
         ("phone", _is(value, "phone"), lambda: _new_phone(value, key)),
     ]

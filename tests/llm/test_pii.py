@@ -62,6 +62,25 @@ def test_what_is_not_valid_stays(make, text):
     assert out[0]["text"] == text and out[0]["n_values"] == 0
 
 
+def test_values_before_capital_words_and_numbers(make):
+    rows = [
+        ("BE68539007547034", " A few", "iban"),
+        ("AT611904300234573201", " I paid", "iban"),
+        ("BE68 5390 0754 7034", " 2024 was", "iban"),
+        ("3782-822463-10005", " A 12", "card"),
+        ("12/25/1990", " A 12", "date"),
+        ("5.3.1990", " A 12", "date"),
+        ("3 March 1990", " A 12", "date"),
+        ("Dec. 25th, 1990", " A 12", "date"),
+        ("AT61 4485 2757 4230 8327", " A 12", "card"),
+    ]
+    out = run(make, [f"on {value}{rest}" for value, rest, _ in rows])
+    again = run(make, [out[i]["text"] for i in range(len(rows))])
+    for i, (value, rest, kind) in enumerate(rows):
+        assert list(out[i]["kinds"]) == list(again[i]["kinds"]) == [kind]
+        assert value not in out[i]["text"] and out[i]["text"].startswith("on ") and out[i]["text"].endswith(rest)
+
+
 def test_numbers_are_permuted(spark):
     df = spark.range(189 * 773).select(
         pii.permute_pair(F.floor(F.col("id") / 773), F.col("id") % 773, (189, 773), "k").alias("p")
