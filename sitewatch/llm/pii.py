@@ -326,8 +326,8 @@ def pseudonym(value: Column, key: str) -> tuple[Column, Column]:
         ("address", valid_address(value), lambda: _new_address(value, key)),
         ("secret", _is(value, "secret"), lambda: _new_secret(value, key)),
         ("card", valid_card(value), lambda: _new_card(value, key)),
-        # A card after four characters that made it look like an account number.
-        ("card", _is(value, "iban") & valid_card(_after_four(value)), lambda: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(_after_four(value))), _new_card(_after_four(value), key))),
+        # A card behind a word of four characters that made it look like an account number.
+        ("card", _is(value, "iban") & value.rlike("^.{4} ") & valid_card(_after_four(value)), lambda: F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(_after_four(value))), _new_card(_after_four(value), key))),
         ("tax", _is(value, "tax"), lambda: _in_place(value, f"{key}|tax")),
         ("phone", _is(value, "phone"), lambda: _new_phone(value, key)),
     ]
