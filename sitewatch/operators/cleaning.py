@@ -141,7 +141,10 @@ def parse_censored(df: DataFrame, settings: CleaningSettings = CleaningSettings(
         .when(censored, F.lit(float(settings.censored_factor)))
         .otherwise(F.lit(1.0))
     )
-    value = F.nullif(F.nullif(number * share + F.lit(0.0), F.lit(float("inf"))), F.lit(float("-inf")))
+    # Not nullif: it mentions its argument twice, and each mention parses the text anew.
+    value = F.transform(
+        F.array(number * share + F.lit(0.0)), lambda v: F.when(F.abs(v) < F.lit(float("inf")), v)
+    )[0]
     return df.withColumn("is_left_censored", censored).withColumn("value", value)
 
 

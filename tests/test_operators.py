@@ -82,6 +82,13 @@ def test_parse_censored_edges(spark):
     ]
 
 
+def test_values_are_parsed_once_in_filter_and_projection(spark):
+    raw = _raw(spark, ["1", "2"]).withColumn("sample_material", F.lit("RIVER / RUNNING SURFACE WATER"))
+    raw = raw.withColumns({"unit": F.lit("mg/l"), "site_id": F.lit("s"), "sample_datetime": F.lit("2000-01-01T00:00:00")})
+    plan = cleaning.clean_observations(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract") <= 2
+
+
 def test_negative_alkalinity_is_clamped(spark):
     got = cleaning.parse_censored(_raw(spark, ["-3", "3", "x"], C.CLAMPED_DETERMINAND)).collect()
     assert [r["value"] for r in got] == [0.0, 3.0, None]
