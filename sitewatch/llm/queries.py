@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import exact_dedup, html, jaccard_join, licenses, line_dedup, mixing, pii, quality, sentencepiece, sharding
+from sitewatch.llm import hard_negatives, url_filter, whitening
 from sitewatch.llm.common import documents
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -97,6 +98,71 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(documents(spark, sf_dir), shards=16)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    noisy = hard_negatives.scaled_rows(embeddings, label=hard_negatives.every_seventh_shifted())
+    return hard_negatives.mine(noisy, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * r.x[i])) AS BIGINT) AS score
+  FROM a JOIN r ON a.vec_id <> r.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+URL_RULES = [
+    (url_filter.ALLOW, "org", "/"),
+    (url_filter.BLOCK, "example.org", "/es/"),
+    (url_filter.BLOCK, "example.org", "/en/1"),
+    (url_filter.ALLOW, "com", "/fr/"),
+    (url_filter.BLOCK, "com", "/de/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge_urls(pages, url_filter.rule_table(spark, URL_RULES))
+
+
+OP12_SQL = """
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+d AS (SELECT DISTINCT host, path FROM u),
+b AS (
+  SELECT host, path, max_by(struct_pack(rule := h || p, verdict := verdict), len(h) + len(p)) AS best
+  FROM d JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY host, path)
+SELECT page_id, u.host, u.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM u LEFT JOIN b ON u.host = b.host AND u.path = b.path
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_html": op2_html,
@@ -108,6 +174,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+    "op7_jaccard_join": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_url_filter": OP12_SQL,
+}
