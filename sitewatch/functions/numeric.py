@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,40 @@ def order_bin(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, magnitude).otherwise(-magnitude)
 
 
+def order_bits(value: Column) -> Column:
+    """The 64 bits of a double as an integer that grows with the value; both zeros are 0.
+
+    Exact, by arithmetic with powers of two: the exponent found by the logarithm is put
+    right by one comparison with the powers beside it.
+    """
+
+    def let(column: Column, body: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(column), body)[0]
+
+    def power(e: Column) -> Column:
+        return F.pow(F.lit(2.0), e)
+
+    def normal(size: Column) -> Column:
+        def exact(e: Column) -> Column:
+            return F.when(power(e) > size, e - 1).when(size / power(e) >= 2, e + 1).otherwise(e)
+
+        def packed(e: Column) -> Column:
+            return (e + 1023) * F.lit(2**52) + ((size / power(e) - 1) * F.lit(2.0**52)).cast("long")
+
+        guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)).cast("long")
+        return let(let(guess, exact), packed)
+
+    def bits(size: Column) -> Column:
+        return (
+            F.when(size == 0, F.lit(0).cast("long"))
+            .when(size < F.lit(2.0**-1022), (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long"))
+            .when(size == float("inf"), F.lit(0x7FF << 52))
+            .otherwise(normal(size))
+        )
+
+    return F.when(value < 0, -bits(-value)).otherwise(bits(value))
+
+
 def unit_or_std(std: Column, tolerance: float = 1e-12) -> Column:
     """A spread to divide by: missing, non-finite or vanishing spread becomes 1."""
     usable = is_finite(std) & (std > F.lit(tolerance))
