@@ -115,37 +115,18 @@ def linear_grid_to_latlon(easting: Column, northing: Column) -> tuple[Column, Co
     return F.round(lat, 5), F.round(lon, 5)
 
 
-def ring_contains(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting over an array of ``struct<x,y>`` vertices.
-
-    A point on the ring itself is not inside.
-    """
-    size = F.size(ring)
-
-    def crossing(a: Column, b: Column) -> Column:
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        on_edge = (
-            (dx * (y - a["y"]) == dy * (x - a["x"]))
-            & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]))
-            & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-        )
-        passes = ((a["y"] > y) != (b["y"] > y)) & (
-            x < dx * (y - a["y"]) / F.nullif(dy, F.lit(0.0)) + a["x"]
-        )
-        return F.when(on_edge, F.lit(None).cast("int")).when(passes, F.lit(1)).otherwise(F.lit(0))
-
-    edges = F.zip_with(
-        ring,
-        F.concat(F.slice(ring, 2, F.greatest(size - 1, F.lit(0))), F.slice(ring, 1, 1)),
-        crossing,
+def on_segment(x: Column, y: Column) -> Column:
+    """Whether a place lies on the edge from ``ax, ay`` to ``bx, by``, ends included."""
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    return (
+        ((bx - ax) * (y - ay) == (by - ay) * (x - ax))
+        & x.between(F.least(ax, bx), F.greatest(ax, bx))
+        & y.between(F.least(ay, by), F.greatest(ay, by))
     )
-    # One edge through the point makes the sum null, which is not inside.
-    total = F.aggregate(edges, F.lit(0), lambda acc, hit: acc + hit)
-    return F.coalesce(total % 2 == 1, F.lit(False))
 
 
 def ring_centroid(ring: Column) -> Column:
-    """Area centroid by the shoelace sum, as ``struct<x,y>``.
+    """Area centroid by the shoelace sum, as ``struct<x,y,w>``; ``w`` is twice the signed area.
 
     Coordinates are taken relative to the first vertex, which keeps the sums
     well conditioned. A ring without area falls back to the vertex mean.
@@ -181,4 +162,5 @@ def ring_centroid(ring: Column) -> Column:
     return F.struct(
         (first["x"] + F.coalesce(total["sx"] / divisor, mean_x)).alias("x"),
         (first["y"] + F.coalesce(total["sy"] / divisor, mean_y)).alias("y"),
+        total["w"].alias("w"),
     )

@@ -12,7 +12,7 @@ from sitewatch.functions import geo
 from sitewatch.functions.numeric import is_finite
 from sitewatch.functions.text import blank_to_null, literal_map, severity_band, title_case_site
 from sitewatch.operators.narrative import top_driver_label
-from sitewatch.operators.spatial import radius_join
+from sitewatch.operators.neighbours import nearest_targets
 
 SEARCHED_FIELDS = (
     "site_label",
@@ -118,22 +118,16 @@ def nearest_sites_batch(
     origins: DataFrame, sites: DataFrame, limit: int = 10, max_km: float = 50.0
 ) -> DataFrame:
     """The same for a table of ``origin_id, lat, lon``."""
-    pairs = radius_join(
+    found = nearest_targets(
         origins.select(F.col("origin_id").alias("site_id"), "lat", "lon"),
-        sites.select(F.col("site_id").alias("_site"), "lat", "lon"),
-        max_km * 1000.0,
-        "_site",
+        sites.select(F.col("site_id").alias("peer_id"), "lat", "lon"),
+        limit,
     )
-    order = Window.partitionBy("site_id").orderBy("distance_m", "_site")
-    return (
-        pairs.withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= limit)
-        .select(
-            F.col("site_id").alias("origin_id"),
-            F.col("_site").alias("site_id"),
-            "nth",
-            (F.col("distance_m") / 1000).alias("distance_km"),
-        )
+    return found.where(F.col("distance_m") <= max_km * 1000.0).select(
+        F.col("site_id").alias("origin_id"),
+        F.col("peer_id").alias("site_id"),
+        F.col("rank").alias("nth"),
+        (F.col("distance_m") / 1000).alias("distance_km"),
     )
 
 

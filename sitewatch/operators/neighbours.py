@@ -20,8 +20,10 @@ from sitewatch.functions.numeric import is_finite
 from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.skew import hot_keys, split_hot_join
 
-MAX_LEVEL = 27  # side of the root square / 2**27: about 30 cm for the globe
+DEEPEST = 50  # cell numbers beyond this are finer than doubles of the size of the root square
+LEVELS_A_ROUND = 4
 SPLIT_ROWS = 200_000
+SPREAD = 16  # tasks that a crowded cell's positions are dealt over while cells are split
 
 
 def top_k(pairs: DataFrame, k: int, distance: str) -> DataFrame:
@@ -81,89 +83,120 @@ class _Sphere(_Plane):
         return F.array_distinct(F.transform(span, lambda c: F.pmod(c, cells)))
 
 
-def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float) -> DataFrame:
-    """k nearest other points for ``points(site_id, px, py)``, all finite.
+def _positions(points: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """Points at one place collapse to a position that keeps its ``keep`` smallest ids.
 
-    1. Points at one position collapse to a position that keeps its k+1 smallest
-       ids; more could never be anybody's neighbour.
-    2. Every position is counted in the nested cells of a quadtree. Its *home* is
-       its deepest cell that still holds k+1 points, so few positions share a home
-       level in any one cell however dense the cell is.
-    3. The k-th distance inside the home cell bounds the search; the box around
-       that circle names the cells that can hold a neighbour.
-    Work is linear in the number of points; no step pairs a whole group with itself.
+    Returns the kept members (``site_id, px, py``) and the positions (``pid, px, py, _kept``).
     """
-    lowest, levels = _levels(space, k, n, extent)
     by_id = Window.partitionBy("px", "py").orderBy("site_id")
-    members = (
-        points.withColumn("_nth", F.row_number().over(by_id))
-        .where(F.col("_nth") <= k + 1)
-        .select("site_id", "px", "py")
-    )
-    members = cut(members, "members")
-    positions = members.groupBy("px", "py").agg(
-        F.count(F.lit(1)).alias("_kept"), F.min("site_id").alias("pid")
-    )
-    positions = cut(positions, "positions")
-
-    cx, cy = space.cell(F.col("level"))
-    nested = positions.withColumn(
-        "level", F.explode(F.array(*[F.lit(x) for x in levels]))
-    ).select("pid", "px", "py", "_kept", "level", cx.alias("cx"), cy.alias("cy"))
-    keys = ["level", "cx", "cy"]
-    hot = cut(hot_keys(nested, keys, SPLIT_ROWS), "hot")
-    full = (
-        nested.groupBy(*keys)
-        .agg(F.sum("_kept").alias("_held"))
-        .where(F.col("_held") >= k + 1)
-        .select(*keys)
-    )
-    homes = (
-        split_hot_join(full, nested, keys, "pid", SPLIT_ROWS, hot)
-        .groupBy("pid")
-        .agg(F.max("level").alias("level"))
-    )
-    # Too few points anywhere for a full cell: the root square holds them all.
-    queries = positions.join(homes, "pid", "left").select(
-        "pid", "px", "py", F.coalesce("level", F.lit(0)).alias("level")
-    )
-    queries = cut(queries, "queries")
-    stored = nested.select(
-        *keys, F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"), "_kept"
-    )
+    members = points.select("site_id", "px", "py").withColumn("_nth", F.row_number().over(by_id))
+    members = cut(members.where(F.col("_nth") <= keep).drop("_nth"), "members")
+    positions = members.groupBy("px", "py").agg(F.count(F.lit(1)).alias("_kept"), F.min("site_id").alias("pid"))
+    return members, cut(positions, "positions")
 
-    at_home = queries.select("*", cx.alias("cx"), cy.alias("cy"))
-    inside = split_hot_join(at_home, stored, keys, "qid", SPLIT_ROWS, hot).withColumn(
-        "_d", space.distance()
-    )
-    reach = _kth_distance(inside, k)
-    cover = _cover(queries.join(reach, "pid", "left"), space, lowest)
-    near = (
-        split_hot_join(cover, stored, keys, "qid", SPLIT_ROWS, hot)
-        .withColumn("_d", space.distance())
-        .where((F.col("_d") <= F.col("_reach")) & (F.col("pid") != F.col("qid")))
-    )
-    nearest = Window.partitionBy("pid").orderBy("_d", "qid")
-    near = near.withColumn("_nth", F.row_number().over(nearest)).where(F.col("_nth") <= k)
 
-    # Back to points: members of the nearest positions, and of the own position at
-    # distance 0. A position offers at most (k+1) ids, so the lists are bounded.
-    links = near.select("pid", "qid", F.col("_d").alias("distance")).unionByName(
-        positions.select("pid", F.col("pid").alias("qid"), F.lit(0.0).alias("distance"))
-    )
+class _Index:
+    """The positions of one table in the nested cells of a quadtree.
+
+    Which levels there are is read off the data, a few levels at a time: as long as some cell
+    holds more than ``need`` positions, the positions of such cells are split further. A level
+    at which no such cell falls apart is left out, so an outlier far away costs one level.
+    """
+
+    KEYS = ("level", "cx", "cy")
+
+    def __init__(self, positions: DataFrame, space: _Plane, need: int):
+        self.space, self.need = space, need
+        self.levels = self._split(positions)
+        cx, cy = space.cell(F.col("level"))
+        nested = positions.withColumn("level", F.explode(F.array(*[F.lit(x) for x in self.levels])))
+        nested = nested.select("pid", "px", "py", "_kept", "level", cx.alias("cx"), cy.alias("cy"))
+        self.hot = cut(hot_keys(nested, list(self.KEYS), SPLIT_ROWS), "hot")
+        held = nested.groupBy(*self.KEYS).agg(F.sum("_kept").alias("_held"))
+        self.full = held.where(F.col("_held") >= need).select(*self.KEYS)
+        self.stored = nested.select(
+            *self.KEYS, F.col("pid").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"), "_kept"
+        )
+
+    def _split(self, positions: DataFrame) -> list[int]:
+        levels, deepest, crowded, parts = [0], 0, positions.select("px", "py"), 1
+        while deepest < DEEPEST:
+            steps = list(range(deepest + 1, min(deepest + LEVELS_A_ROUND, DEEPEST) + 1))
+            cx, cy = self.space.cell(F.col("level"))
+            celled = crowded.withColumn("level", F.explode(F.array(*[F.lit(x) for x in steps])))
+            cells = celled.groupBy("level", cx.alias("cx"), cy.alias("cy")).agg(F.count(F.lit(1)).alias("_n"))
+            cells = cut(cells, "cells")
+            found = {
+                r["level"]: r
+                for r in cells.groupBy("level")
+                .agg(F.count(F.lit(1)).alias("cells"), F.max("_n").alias("most"), F.count_if(F.col("_n") > self.need).alias("full"))
+                .collect()
+            }
+            for level in steps:
+                if level in found and found[level]["cells"] > parts:
+                    levels.append(level)
+                    parts = found[level]["cells"]
+                if level in found and found[level]["most"] <= self.need:
+                    return levels
+            deepest = steps[-1]
+            if deepest not in found:
+                return levels
+            parts = found[deepest]["full"]
+            over = cells.where((F.col("level") == deepest) & (F.col("_n") > self.need)).select("cx", "cy")
+            cx, cy = self.space.cell(F.lit(deepest))
+            placed = crowded.withColumns({"cx": cx, "cy": cy})
+            spread = F.pmod(F.xxhash64("px", "py"), F.lit(SPREAD)).cast("int")
+            over = over.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+            crowded = placed.withColumn("_split", spread).join(over, ["cx", "cy", "_split"], "left_semi").select("px", "py")
+            crowded = cut(crowded, "crowded")
+        return levels
+
+    def near(self, queries: DataFrame) -> DataFrame:
+        """``pid, qid, _d, _kept``: per query all positions that can be among the nearest.
+
+        1. The *home* of a query is its deepest cell that holds ``need`` points, so few
+           queries share a home level in any one cell however dense the cell is.
+        2. The distance that offers ``need`` points inside the home cell bounds the search.
+        3. The box around that circle names the cells that can hold a neighbour.
+        """
+        keys, cx, cy = list(self.KEYS), *self.space.cell(F.col("level"))
+        nested = queries.withColumn("level", F.explode(F.array(*[F.lit(x) for x in self.levels])))
+        nested = nested.select("pid", "level", cx.alias("cx"), cy.alias("cy"))
+        homes = split_hot_join(self.full, nested, keys, "pid", SPLIT_ROWS).groupBy("pid").agg(F.max("level").alias("level"))
+        # Too few points anywhere for a full cell: the root square holds them all.
+        queries = queries.join(homes, "pid", "left").select("pid", "px", "py", F.coalesce("level", F.lit(0)).alias("level"))
+        queries = cut(queries, "queries")
+        at_home = queries.select("*", cx.alias("cx"), cy.alias("cy"))
+        inside = split_hot_join(at_home, self.stored, keys, "qid", SPLIT_ROWS, self.hot)
+        reach = _kth_distance(inside.withColumn("_d", self.space.distance()), self.need)
+        cover = _cover(queries.join(reach, "pid", "left"), self.space, self.levels)
+        return (
+            split_hot_join(cover, self.stored, keys, "qid", SPLIT_ROWS, self.hot)
+            .withColumn("_d", self.space.distance())
+            .where(F.col("_d") <= F.col("_reach"))
+            .select("pid", "qid", "_d", "_kept")
+        )
+
+
+def _offers(links: DataFrame, members: DataFrame, positions: DataFrame) -> DataFrame:
+    """``pid, _peers``: the members of the positions that a position is linked with, nearest first.
+
+    A position has a bounded number of links and members, so the lists are bounded.
+    """
     named = members.join(positions.select("px", "py", F.col("pid").alias("qid")), ["px", "py"])
-    offers = (
+    return (
         links.join(named.select("qid", F.col("site_id").alias("peer_id")), "qid")
         .groupBy("pid")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "peer_id"))).alias("_peers"))
     )
+
+
+def _listed(offers: DataFrame, positions: DataFrame, points: DataFrame, peers: Column) -> DataFrame:
+    """Back from positions to points, of which very many may share a place."""
     own = split_hot_join(
-        positions.select("px", "py", "pid"), points, ["px", "py"], "site_id", SPLIT_ROWS
+        positions.select("px", "py", "pid"), points.select("site_id", "px", "py"), ["px", "py"], "site_id", SPLIT_ROWS
     ).select("site_id", "pid")
-    listed = split_hot_join(offers, own, ["pid"], "site_id", SPLIT_ROWS).select(
-        "site_id",
-        F.slice(F.filter("_peers", lambda p: p["peer_id"] != F.col("site_id")), 1, k).alias("_peers"),
-    )
+    listed = split_hot_join(offers, own, ["pid"], "site_id", SPLIT_ROWS).select("site_id", peers.alias("_peers"))
     return listed.select("site_id", F.posexplode("_peers").alias("_at", "_peer")).select(
         "site_id",
         F.col("_peer.peer_id").alias("peer_id"),
@@ -172,29 +205,69 @@ def _knn_points(points: DataFrame, k: int, space: _Plane, n: int, extent: float)
     )
 
 
-def _levels(space: _Plane, k: int, n: int, extent: float) -> tuple[int, list[int]]:
-    """Quadtree levels worth counting: from the data's extent to cells that would
-    hold k points even where the data is 4**8 times denser than on average."""
-    lowest = max(0, math.floor(math.log2(space.side / max(extent, space.side * 1e-9))) - 1)
-    depth = math.ceil(math.log(max(n / max(k, 1), 1), 4)) + 8
-    highest = min(MAX_LEVEL, lowest + depth)
-    return lowest, sorted({0, *range(min(lowest, highest), highest + 1)})
+def _nearest_positions(near: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("pid").orderBy("_d", "qid")
+    near = near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k)
+    return near.select("pid", "qid", F.col("_d").alias("distance"))
+
+
+def _knn_points(points: DataFrame, k: int, space: _Plane) -> DataFrame:
+    """k nearest other points for ``points(site_id, px, py)``, all finite.
+
+    A position keeps k+1 ids, as more could never be anybody's neighbour; it links to the
+    nearest other positions and to itself. Work is linear in the number of points; no step
+    pairs a whole group with itself.
+    """
+    members, positions = _positions(points, k + 1)
+    near = _Index(positions, space, k + 1).near(positions.select("pid", "px", "py"))
+    itself = positions.select("pid", F.col("pid").alias("qid"), F.lit(0.0).alias("distance"))
+    links = _nearest_positions(near.where(F.col("pid") != F.col("qid")), k).unionByName(itself)
+    others = F.filter("_peers", lambda p: p["peer_id"] != F.col("site_id"))
+    return _listed(_offers(links, members, positions), positions, points, F.slice(others, 1, k))
+
 
+def nearest_targets(origins: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of another table on the map: ``(site_id, peer_id, rank, distance_m)``.
+
+    ``origins`` has ``site_id, lat, lon`` and ``targets`` ``peer_id, lat, lon``; rows without
+    finite coordinates take no part, ties go to the smaller ``peer_id``. A limit on the
+    distance is for the caller to apply: it plays no part in the search, so a crowded
+    neighbourhood costs no more than a sparse one.
+    """
+    here = _on_map(origins, "site_id")
+    there = _on_map(targets, "peer_id")
+    members, positions = _positions(there, k)
+    spots = here.groupBy("px", "py").agg(F.min("site_id").alias("pid"))
+    spots = cut(spots, "spots")
+    near = _Index(positions, _Sphere(), k).near(spots.select("pid", "px", "py"))
+    offers = _offers(_nearest_positions(near, k), members, positions)
+    found = _listed(offers, spots, here, F.slice("_peers", 1, k))
+    return found.withColumnRenamed("distance", "distance_m")
+
+
+def _on_map(df: DataFrame, id_column: str) -> DataFrame:
+    return df.where(is_finite(F.col("lat")) & is_finite(F.col("lon"))).select(
+        F.col(id_column).alias("site_id"), F.col("lon").cast("double").alias("px"), F.col("lat").cast("double").alias("py")
+    )
 
-def _kth_distance(inside: DataFrame, k: int) -> DataFrame:
-    """Distance within which a position's home cell already offers k other points."""
+
+def _kth_distance(inside: DataFrame, need: int) -> DataFrame:
+    """Distance within which a query's home cell already offers ``need`` points."""
     order = Window.partitionBy("pid").orderBy("_d", "qid")
     return (
         inside.withColumn("_nth", F.row_number().over(order))
-        .where(F.col("_nth") <= k + 1)
+        .where(F.col("_nth") <= need)
         .groupBy("pid")
         .agg(F.max("_d").alias("_far"), F.sum("_kept").alias("_seen"))
-        .select("pid", F.when(F.col("_seen") >= k + 1, F.col("_far")).alias("_reach"))
+        .select("pid", F.when(F.col("_seen") >= need, F.col("_far")).alias("_reach"))
     )
 
 
-def _cover(queries: DataFrame, space: _Plane, lowest: int) -> DataFrame:
-    """Cells that the search box of each query touches, at most ten along an axis."""
+def _cover(queries: DataFrame, space: _Plane, levels: list[int]) -> DataFrame:
+    """Cells that the search box of each query touches, at most ten along an axis.
+
+    They are cells of the deepest level there is that is coarse enough.
+    """
     unlimited = F.lit(space.side * 1e6)
     reach = F.coalesce(F.col("_reach") * (1 + 1e-9) + 1e-9, unlimited)
     dx, dy = space.half_box(F.col("_reach"))
@@ -205,7 +278,8 @@ def _cover(queries: DataFrame, space: _Plane, lowest: int) -> DataFrame:
     )
     widest = F.greatest("_dx", "_dy", F.lit(space.side * 1e-12))
     coarse = F.least(F.col("level"), F.floor(F.log2(F.lit(4 * space.side) / widest))).cast("int")
-    boxed = boxed.withColumn("level", F.when(coarse >= lowest, coarse).otherwise(F.lit(0)))
+    fitting = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= coarse)
+    boxed = boxed.withColumn("level", F.coalesce(F.array_max(fitting), F.lit(0)))
     cells = F.pow(F.lit(2.0), F.col("level"))
     width = F.lit(space.side) / cells
 
@@ -221,18 +295,17 @@ def _cover(queries: DataFrame, space: _Plane, lowest: int) -> DataFrame:
     )
 
 
-def _measure(points: DataFrame) -> tuple[int, float, float, float]:
-    """Row count, lower corner and extent: four numbers on the driver."""
+def _measure(points: DataFrame) -> tuple[float, float, float]:
+    """Lower corner and extent: three numbers on the driver."""
     row = points.agg(
-        F.count(F.lit(1)).alias("n"),
         F.min("px").alias("x0"),
         F.max("px").alias("x1"),
         F.min("py").alias("y0"),
         F.max("py").alias("y1"),
     ).first()
-    if not row["n"]:
-        return 0, 0.0, 0.0, 1.0
-    return row["n"], row["x0"], row["y0"], max(row["x1"] - row["x0"], row["y1"] - row["y0"])
+    if row["x0"] is None:
+        return 0.0, 0.0, 1.0
+    return row["x0"], row["y0"], max(row["x1"] - row["x0"], row["y1"] - row["y0"])
 
 
 def geographic_neighbours(sites: DataFrame, k: int = 20) -> DataFrame:
@@ -241,11 +314,9 @@ def geographic_neighbours(sites: DataFrame, k: int = 20) -> DataFrame:
     Sites without finite coordinates take no part; fewer than three located sites
     give no edges at all.
     """
-    located = sites.where(is_finite(F.col("lat")) & is_finite(F.col("lon"))).select(
-        "site_id", F.col("lon").cast("double").alias("px"), F.col("lat").cast("double").alias("py")
-    )
-    n, _, _, extent = _measure(located)
-    edges = _knn_points(located, k, _Sphere(), n, extent).withColumnRenamed("distance", "distance_m")
+    located = _on_map(sites, "site_id")
+    n = located.count()
+    edges = _knn_points(located, k, _Sphere()).withColumnRenamed("distance", "distance_m")
     return edges if n >= 3 else edges.limit(0)
 
 
@@ -254,9 +325,8 @@ def planar_neighbours(points: DataFrame, k: int, x: str = "x", y: str = "y") ->
     usable = points.where(is_finite(F.col(x)) & is_finite(F.col(y))).select(
         "site_id", F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")
     )
-    n, x0, y0, extent = _measure(usable)
-    side = extent * 1.0001 or 1.0
-    return _knn_points(usable, k, _Plane(x0, y0, side), n, extent)
+    x0, y0, extent = _measure(usable)
+    return _knn_points(usable, k, _Plane(x0, y0, extent * 1.0001 or 1.0))
 
 
 # --- vectors of any length ------------------------------------------------------

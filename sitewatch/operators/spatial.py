@@ -11,18 +11,25 @@ from sitewatch import constants as C
 from sitewatch.functions import geo
 from sitewatch.functions.numeric import is_finite
 from sitewatch.operators.checkpoints import cut
+from sitewatch.operators.neighbours import nearest_targets
+from sitewatch.operators.polygons import centroids, point_in_polygon_join  # noqa: F401
 from sitewatch.operators.skew import split_hot_join
 
 
-def _band_width(band: Column, height: float, angle: float) -> Column:
-    """Longitude width of the cells of a latitude band.
+ROWS_PER_SPLIT = 200_000
 
-    It is at least the half width of a circle anywhere in the band, so a circle
-    never spans more than three cells of it.
+
+def _band_cells(band: Column, height: float, angle: float) -> Column:
+    """Number of cells around the globe in a latitude band.
+
+    A cell is at least as wide as half a circle anywhere in the band, so a circle never
+    spans more than three cells of it; all cells of a band are equally wide, so that they
+    go on across the date line.
     """
     farthest = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
     cosine = F.cos(F.radians(F.least(farthest, F.lit(89.0))))
-    return F.degrees(F.asin(F.least(F.lit(math.sin(angle)) / cosine, F.lit(1.0))))
+    width = F.degrees(F.asin(F.least(F.lit(math.sin(angle)) / cosine, F.lit(1.0))))
+    return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
 
 
 def _located(df: DataFrame) -> DataFrame:
@@ -35,7 +42,8 @@ def radius_join(
     """All (site, point) pairs at most ``radius_m`` apart, with ``distance_m``.
 
     Every point lies in one cell; a site visits the cells its circle touches. Only
-    points of those cells are measured, and a crowded cell is split. The site's
+    points of those cells are measured; a cell crowded with points, sites or both is split
+    into a grid of both. Cells go on across the date line. The site's
     ``site_id`` and all columns of ``points`` are kept, but for the coordinates.
     """
     angle = radius_m / C.EARTH_RADIUS_M
@@ -46,7 +54,7 @@ def radius_join(
         F.col("lat").cast("double").alias("_plat"),
         F.col("lon").cast("double").alias("_plon"),
         band.alias("cy"),
-        F.floor(F.col("lon") / _band_width(band, height, angle)).alias("cx"),
+        F.pmod(F.floor(F.col("lon") * _band_cells(band, height, angle) / 360.0), _band_cells(band, height, angle)).alias("cx"),
     )
     # A hair of slack keeps circles that end exactly on a cell border whole.
     half_lat = F.lit(height * (1 + 1e-9))
@@ -63,22 +71,17 @@ def radius_join(
                 )
             ),
         )
-        .withColumn("_width", _band_width(F.col("cy"), height, angle))
-        .withColumn(
-            "cx",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("lon") - half_lon) / F.col("_width")),
-                    F.floor((F.col("lon") + half_lon) / F.col("_width")),
-                )
-            ),
-        )
-        .drop("_width")
+        .withColumn("_cells", _band_cells(F.col("cy"), height, angle))
+        .withColumn("_first", F.floor((F.col("lon") - half_lon) * F.col("_cells") / 360.0))
+        .withColumn("_last", F.floor((F.col("lon") + half_lon) * F.col("_cells") / 360.0))
+        .withColumn("cx", F.explode(F.sequence("_first", F.least("_last", F.col("_first") + F.col("_cells") - 1))))
+        .withColumn("cx", F.pmod("cx", "_cells"))
+        .drop("_cells", "_first", "_last")
     )
     distance = geo.haversine(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"), C.EARTH_RADIUS_M)
     kept = [c for c in points.columns if c not in ("lat", "lon")]
     return (
-        split_hot_join(visits, cells, ["cx", "cy"], point_id)
+        split_hot_join(visits, cells, ["cx", "cy"], point_id, ROWS_PER_SPLIT, probe_id="site_id")
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= radius_m)
         .select("site_id", *kept, "distance_m")
@@ -99,63 +102,22 @@ def rivers(polygons: DataFrame) -> DataFrame:
     return polygons.where(F.col("water_body_type") == "River")
 
 
-def point_in_polygon_join(sites: DataFrame, polygons: DataFrame, cell: float = 0.1) -> DataFrame:
-    """Left join of sites to the polygon that holds them, lowest id first.
-
-    ``polygons`` has ``water_body_id`` and ``ring``, an array of ``struct<x,y>``.
-    Polygons are listed under the cells of their bounding box, and only rings listed
-    in a site's own cell are ray-cast.
-    """
-    xs = F.transform("ring", lambda p: p["x"])
-    ys = F.transform("ring", lambda p: p["y"])
-
-    def cells(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
-
-    listed = (
-        polygons.select("water_body_id", "ring")
-        .withColumn("cx", cells(F.array_min(xs), F.array_max(xs)))
-        .withColumn("cy", cells(F.array_min(ys), F.array_max(ys)))
-    )
-    placed = _located(sites).select(
-        "site_id",
-        F.col("lon").cast("double").alias("lon"),
-        F.col("lat").cast("double").alias("lat"),
-        F.floor(F.col("lon") / cell).alias("cx"),
-        F.floor(F.col("lat") / cell).alias("cy"),
-    )
-    # Sites are the side that crowds into cells, so they are the split side.
-    hits = (
-        split_hot_join(listed, placed, ["cx", "cy"], "site_id")
-        .where(geo.ring_contains(F.col("ring"), F.col("lon"), F.col("lat")))
-        .groupBy("site_id")
-        .agg(F.min("water_body_id").alias("water_body_id"))
-    )
-    attributes = polygons.drop("ring")
-    return sites.join(hits.join(attributes, "water_body_id"), "site_id", "left")
-
-
 def nearest_centroid_join(
     joined: DataFrame, polygons: DataFrame, max_distance_m: float = 10_000.0
 ) -> DataFrame:
     """Give unmatched sites the polygon with the nearest centroid in reach.
 
-    ``joined`` is the result of :func:`point_in_polygon_join`. Beyond the limit the
-    columns stay null, so a radius join on the centroids decides the match exactly.
+    ``joined`` is the result of :func:`point_in_polygon_join`. The nearest centroid is found
+    whatever its distance; beyond the limit the columns stay null.
     """
-    attributes = [c for c in polygons.columns if c != "ring"]
+    attributes = [c for c in polygons.columns if c not in ("ring", "parts")]
     joined = cut(joined, "in_polygons")
-    centres = polygons.select(
-        "water_body_id", geo.ring_centroid(F.col("ring")).alias("_c")
-    ).select("water_body_id", F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat"))
-    # Written, or the centroid sum would be repeated in every cell expression.
-    centres = cut(centres, "centroids")
+    centres = centroids(polygons).withColumnRenamed("water_body_id", "peer_id")
     unmatched = joined.where(F.col("water_body_id").isNull()).select("site_id", "lat", "lon")
     nearest = (
-        radius_join(unmatched, centres, max_distance_m, "water_body_id")
-        .groupBy("site_id")
-        .agg(F.min(F.struct("distance_m", "water_body_id")).alias("_best"))
-        .select("site_id", F.col("_best.water_body_id").alias("water_body_id"))
+        nearest_targets(unmatched, centres, 1)
+        .where(F.col("distance_m") <= max_distance_m)
+        .select("site_id", F.col("peer_id").alias("water_body_id"))
         .join(polygons.select(*attributes), "water_body_id")
     )
     renamed = nearest.select("site_id", *[F.col(a).alias(f"_near_{a}") for a in attributes])
