@@ -10,6 +10,7 @@ from sitewatch import constants as C
 from sitewatch.config import COMMON_CORE_PANEL, GateSettings
 from sitewatch.functions.numeric import null_if_nan
 from sitewatch.functions.text import strip_code_zeros, thousands
+from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.feed import rank_history_join, rank_movers, top50_entered_exited
 from sitewatch.operators.order_statistics import fractional_ranks
 from sitewatch.sources.feed import read_feed_lines
@@ -52,7 +53,10 @@ def gate_row_count(
     obs: DataFrame, previous_rows: int | None = None, settings: GateSettings = GateSettings()
 ) -> DataFrame:
     """Row count near the previous release's, or above the first-run floor."""
-    counted = obs.agg(F.count(F.lit(1)).alias("row_count"))
+    return _row_count_check(obs.agg(F.count(F.lit(1)).alias("row_count")), previous_rows, settings)
+
+
+def _row_count_check(counted: DataFrame, previous_rows: int | None, settings: GateSettings) -> DataFrame:
     n = F.col("row_count")
     if previous_rows:
         low = previous_rows * (1 - settings.row_count_tolerance)
@@ -67,7 +71,10 @@ def gate_row_count(
 
 def gate_site_count(obs: DataFrame, settings: GateSettings = GateSettings()) -> DataFrame:
     # Two aggregates: distinct ids spread over tasks, and a null id counts once.
-    counted = obs.select("site_id").distinct().agg(F.count(F.lit(1)).alias("site_count"))
+    return _site_count_check(obs.select("site_id").distinct().agg(F.count(F.lit(1)).alias("site_count")), settings)
+
+
+def _site_count_check(counted: DataFrame, settings: GateSettings) -> DataFrame:
     n = F.col("site_count")
     message = F.concat(thousands(n), F.lit(f" sites; at least {settings.min_site_count:,} needed"))
     return _check(counted, DATA, "site_count", n >= settings.min_site_count, message)
@@ -87,6 +94,10 @@ def gate_determinands(
     missing = wanted.join(present, "code", "left_anti").agg(
         F.array_sort(F.collect_list("code")).alias("missing_codes")
     )
+    return _determinands_check(missing)
+
+
+def _determinands_check(missing: DataFrame) -> DataFrame:
     passed = F.size("missing_codes") == 0
     bad = F.concat(F.lit("Missing codes: "), F.array_join("missing_codes", ", "))
     return _check(
@@ -102,7 +113,10 @@ def gate_null_rates(obs: DataFrame, settings: GateSettings = GateSettings()) ->
             return F.max(F.lit(1.0)).alias(name)
         return F.coalesce(F.avg(F.col(name).isNull().cast("int")), F.lit(0.0)).alias(name)
 
-    rates = obs.agg(*[rate(c) for c in C.GATE_COLUMNS])
+    return _null_rates_check(obs.agg(*[rate(c) for c in C.GATE_COLUMNS]), settings)
+
+
+def _null_rates_check(rates: DataFrame, settings: GateSettings) -> DataFrame:
     entries = F.array(
         *[F.when(F.col(c) > settings.max_null_rate, F.lit(c)) for c in C.GATE_COLUMNS]
     )
@@ -117,16 +131,19 @@ def gate_value_ranges(obs: DataFrame, settings: GateSettings = GateSettings()) -
     if "value" not in obs.columns or "determinant" not in obs.columns:
         return _single(obs.sparkSession, DATA, "value_ranges", False, "value or determinant is missing")
     aggregates = [F.count_if(F.col("value") < 0).alias("negative")]
-    problems: list[Column] = []
     for i, (name, (low, high)) in enumerate(settings.value_ranges.items()):
         own = F.col("determinant") == name
         outside = own & ((F.col("value") < low) | (F.col("value") > high))
         aggregates += [F.count_if(own).alias(f"rows_{i}"), F.count_if(outside).alias(f"outside_{i}")]
-        problems.append(
-            F.when((F.col(f"rows_{i}") == 0) | (F.col(f"outside_{i}") > 0), F.lit(name))
-        )
+    return _value_ranges_check(obs.agg(*aggregates), settings)
+
+
+def _value_ranges_check(measured: DataFrame, settings: GateSettings) -> DataFrame:
+    problems = [
+        F.when((F.col(f"rows_{i}") == 0) | (F.col(f"outside_{i}") > 0), F.lit(name))
+        for i, name in enumerate(settings.value_ranges)
+    ]
     problems.append(F.when(F.col("negative") > 0, F.lit("non_negative_values")))
-    measured = obs.agg(*aggregates)
     failing = F.filter(F.array(*problems), lambda p: p.isNotNull())
     passed = F.size(failing) == 0
     bad = F.concat(F.lit("Range failures: "), F.array_join(failing, ", "))
@@ -138,6 +155,10 @@ def gate_value_ranges(obs: DataFrame, settings: GateSettings = GateSettings()) -
 def gate_temporal(obs: DataFrame, as_of_year: int, settings: GateSettings = GateSettings()) -> DataFrame:
     years = obs.select(F.year("sample_dt").alias("year")).where("year IS NOT NULL").distinct()
     measured = years.agg(F.count(F.lit(1)).alias("n_years"), F.max("year").alias("latest_year"))
+    return _temporal_check(measured, as_of_year, settings)
+
+
+def _temporal_check(measured: DataFrame, as_of_year: int, settings: GateSettings) -> DataFrame:
     passed = (F.col("n_years") >= settings.min_years) & (
         F.lit(as_of_year) - F.col("latest_year") <= settings.max_age_years
     )
@@ -156,7 +177,10 @@ def gate_regions(obs: DataFrame, settings: GateSettings = GateSettings()) -> Dat
     else:
         prefix = F.split(F.col("site_id").cast("string"), "-")[0]
         names = obs.select(prefix.alias("region")).where("region <> ''")
-    measured = names.distinct().agg(F.count(F.lit(1)).alias("n_regions"))
+    return _regions_check(names.distinct().agg(F.count(F.lit(1)).alias("n_regions")), settings)
+
+
+def _regions_check(measured: DataFrame, settings: GateSettings) -> DataFrame:
     n = F.col("n_regions")
     message = F.format_string(f"%d regions; at least {settings.min_regions} needed", n)
     return _check(measured, DATA, "regions", n >= settings.min_regions, message)
@@ -405,23 +429,132 @@ def release_diff(feed: DataFrame, previous: DataFrame | None) -> DataFrame:
 # --- running gates -------------------------------------------------------------------------
 
 
-def gate_1(
+def measure_observations(
     obs: DataFrame,
+    codes: tuple[str, ...] = tuple(COMMON_CORE_PANEL),
+    settings: GateSettings = GateSettings(),
+) -> DataFrame:
+    """Everything gate 1 looks at, from one pass over the observations, as one written row.
+
+    Each row counts for itself (kind ``all``) and for its site, code, year and region. Tasks
+    add up per kind and key before anything is shuffled, so the shuffle holds one row per
+    task and key, and the few keys are then counted. Beside the measures of the single
+    gates the row has what is archived: codes, dates and regions.
+    """
+    names = obs.columns
+
+    def column(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in names else F.lit(None).cast(kind)
+
+    region = column("region") if "region" in names else F.nullif(F.split(column("site_id").cast("string"), "-")[0], F.lit(""))
+    bounds = list(settings.value_ranges.items())
+    value, determinant, moment = column("value", "double"), column("determinant"), column("sample_dt", "timestamp_ntz")
+    nth = F.lit(-1)
+    for i, (name, _) in enumerate(bounds):
+        nth = F.when(determinant == name, F.lit(i)).otherwise(nth)
+    outside = F.lit(False)
+    for i, (_, (low, high)) in enumerate(bounds):
+        outside = F.when(nth == i, (value < low) | (value > high)).otherwise(outside)
+
+    def entry(kind: str, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+
+    keyed = F.array(
+        entry("all", F.lit("")),
+        entry("site", column("site_id")),
+        entry("code", column("determinand_code")),
+        entry("year", F.year(moment)),
+        entry("region", region),
+        entry("bounded", F.when(nth >= 0, nth)),
+    )
+    nulls = [f"null_{i}" for i in range(len(C.GATE_COLUMNS))]
+    flags = {n: F.col(c).isNull() if c in names else F.lit(True) for n, c in zip(nulls, C.GATE_COLUMNS)}
+    flags |= {"negative": F.coalesce(value < 0, F.lit(False)), "outside": F.coalesce(outside, F.lit(False))}
+    wide = obs.select(keyed.alias("keyed"), moment.alias("moment"), *[c.cast("int").alias(n) for n, c in flags.items()])
+    tally = (
+        wide.select(F.inline("keyed"), *[c for c in wide.columns if c != "keyed"])
+        .where("kind in ('all', 'site') or key is not null")
+        .groupBy("kind", "key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("moment").alias("first"), F.max("moment").alias("last"), *[F.sum(n).alias(n) for n in flags])
+    )
+
+    def of(kind: str) -> Column:
+        return F.col("kind") == kind
+
+    def total(name: str, test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col(name))), F.lit(0))
+
+    def keys(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(of(kind), F.col("key"))))
+
+    rows = total("n", of("all"))
+    measured = tally.agg(
+        rows.alias("row_count"),
+        F.count_if(of("site")).alias("site_count"),
+        keys("code").alias("determinand_codes"),
+        *[
+            F.when(F.lit(c not in names), F.lit(1.0)).otherwise(F.coalesce(total(n, of("all")) / F.nullif(rows, F.lit(0)), F.lit(0.0))).alias(c)
+            for n, c in zip(nulls, C.GATE_COLUMNS)
+        ],
+        total("negative", of("all")).alias("negative"),
+        *[total("n", of("bounded") & (F.col("key") == str(i))).alias(f"rows_{i}") for i in range(len(bounds))],
+        *[total("outside", of("bounded") & (F.col("key") == str(i))).alias(f"outside_{i}") for i in range(len(bounds))],
+        F.count_if(of("year")).alias("n_years"),
+        F.max(F.when(of("year"), F.col("key").cast("int"))).alias("latest_year"),
+        keys("region").alias("regions"),
+        F.min(F.when(of("all"), F.col("first"))).alias("date_min"),
+        F.max(F.when(of("all"), F.col("last"))).alias("date_max"),
+    )
+    missing = F.filter(F.array(*[F.lit(c) for c in sorted(codes)]), lambda c: ~F.array_contains("determinand_codes", c))
+    return cut(measured.withColumn("missing_codes", missing).withColumn("n_regions", F.size("regions").cast("long")), "gate_1")
+
+
+def checks_of_observations(
+    measured: DataFrame,
+    columns: list[str],
     as_of_year: int,
     previous_rows: int | None = None,
     settings: GateSettings = GateSettings(),
 ) -> DataFrame:
+    """The checks of gate 1 from the row of :func:`measure_observations`.
+
+    ``columns`` are those of the observations, some of which may be missing.
+    """
+    bounded = range(len(settings.value_ranges))
+    if "value" in columns and "determinant" in columns:
+        ranges = _value_ranges_check(
+            measured.select("negative", *[f"{kind}_{i}" for i in bounded for kind in ("rows", "outside")]), settings
+        )
+    else:
+        ranges = _single(measured.sparkSession, DATA, "value_ranges", False, "value or determinant is missing")
     return _union(
-        gate_row_count(obs, previous_rows, settings),
-        gate_site_count(obs, settings),
-        gate_determinands(obs),
-        gate_null_rates(obs, settings),
-        gate_value_ranges(obs, settings),
-        gate_temporal(obs, as_of_year, settings),
-        gate_regions(obs, settings),
+        _row_count_check(measured.select("row_count"), previous_rows, settings),
+        _site_count_check(measured.select("site_count"), settings),
+        _determinands_check(measured.select("missing_codes")),
+        _null_rates_check(measured.select(*C.GATE_COLUMNS), settings),
+        ranges,
+        _temporal_check(measured.select("n_years", "latest_year"), as_of_year, settings),
+        _regions_check(measured.select("n_regions"), settings),
     )
 
 
+def gate_1(
+    obs: DataFrame,
+    as_of_year: int,
+    previous_rows: int | None = None,
+    settings: GateSettings = GateSettings(),
+) -> DataFrame:
+    return checks_of_observations(measure_observations(obs, settings=settings), obs.columns, as_of_year, previous_rows, settings)
+
+
+def gate_metadata(measured: DataFrame) -> DataFrame:
+    """What is kept of a passed gate 1, for the next release to compare with."""
+    return measured.select(
+        F.current_timestamp().cast("string").alias("timestamp"),
+        "row_count", "site_count", "determinand_codes", "date_min", "date_max", "regions",
+    )
+
+
 def gate_2(
     scored: DataFrame, previous: DataFrame | None = None, settings: GateSettings = GateSettings()
 ) -> DataFrame:
