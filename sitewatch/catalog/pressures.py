@@ -11,6 +11,7 @@ from sitewatch.fixtures import view
 from sitewatch.functions import geo
 from sitewatch.operators import feed, pressures, spatial
 from sitewatch.operators.checkpoints import cut
+from sitewatch.plans import pressures as chains
 from sitewatch.sources.overflow_returns import harmonise_overflow_returns
 
 TYPES = ("STANDARD", "PROMO")
@@ -72,6 +73,34 @@ def point_in_polygon_join(spark, sf):
     return _in_polygons(spark, sf).select("site_id", "water_body_id", "ecological_class")
 
 
+def _polygons_with_parts(spark, sf):
+    """Every tile with a hole, an island inside the hole and a second part beside it."""
+
+    def square(x0, y0, x1, y1, turn=False):
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        ring = [F.struct((F.col("lon0") + x).alias("x"), (F.col("lat0") + y).alias("y")) for x, y in corners]
+        return F.array(*(ring[::-1] if turn else ring))
+
+    parts = F.array(
+        F.array(square(0, 0, 0.5, 0.875), square(0.125, 0.125, 0.375, 0.75, turn=True)),
+        F.array(square(0.1875, 0.25, 0.3125, 0.5)),
+        F.array(square(0.625, 0, 0.875, 0.875, turn=True)),
+    )
+    return view(spark, sf, "fx_tiles").withColumn("parts", parts).drop("lat0", "lat1", "lon0", "lon1")
+
+
+def point_in_polygon_parts(spark, sf):
+    joined = spatial.point_in_polygon_join(_sites(spark, sf), _polygons_with_parts(spark, sf))
+    return joined.select("site_id", "water_body_id", "ecological_class")
+
+
+def nearest_centroid_parts(spark, sf):
+    polygons = _polygons_with_parts(spark, sf)
+    joined = spatial.point_in_polygon_join(_sites(spark, sf), polygons)
+    filled = spatial.nearest_centroid_join(joined, polygons, 40_000.0)
+    return filled.select("site_id", "water_body_id", "by_centroid")
+
+
 def _with_fallback(spark, sf):
     return spatial.nearest_centroid_join(_in_polygons(spark, sf), _polygons(spark, sf), 60_000.0)
 
@@ -360,11 +389,62 @@ def nearest_sites_batch(spark, sf):
     )
 
 
+# --- raw tables to cleaned ones -----------------------------------------------------------
+
+
+def clean_incidents(spark, sf):
+    """Reports with unreadable times, references and places among them."""
+    reports = view(spark, sf, "fx_incident_reports")
+    cleaned = chains.clean_incidents(reports, view(spark, sf, "fx_pollutants"), TYPES, NAMES, OUTSIDE)
+    return cleaned.select(
+        "incident_id", "incident_date", "water_impact", "pollutant_type", "primary_pollutant",
+        F.size("all_pollutants").alias("n_pollutants"), r("lat"), r("lon"), "raw_report_count",
+    )
+
+
+def clean_overflows(spark, sf):
+    """Returns of which some have no readable outlet."""
+    lost = F.when(F.col("total_duration") != "unknown", F.col("outlet_ngr")).otherwise(F.lit("none"))
+    returns = _overflows(spark, sf).drop("lat", "lon").withColumn("outlet_ngr", lost)
+    return chains.clean_overflows(returns, ("total_duration",)).select(
+        "point_id", "unique_id", "permit_ref", "reporting_year", "spill_count", r("duration_hours"), r("lat"), r("lon")
+    )
+
+
+def locate_permits(spark, sf):
+    return chains.locate_permits(_permits(spark, sf)).select(
+        "point_id", "discharge_category", "discharge_site_name", r("lat"), r("lon")
+    )
+
+
+def enriched_feed(spark, sf):
+    """Sites with all three structs, from the raw tables on."""
+    tables = chains.Pressures(
+        chains.clean_incidents(view(spark, sf, "fx_incident_reports"), view(spark, sf, "fx_pollutants"), TYPES, NAMES, OUTSIDE),
+        chains.clean_overflows(_overflows(spark, sf).drop("lat", "lon")),
+        chains.locate_permits(_permits(spark, sf)),
+        _polygons(spark, sf),
+    )
+    found = chains.enriched(view(spark, sf, "fx_sites").select("site_id", "region", "lat", "lon"), tables, 12_000.0)
+    nearest = F.col("discharge_points.nearest_sewage_work")
+    return found.select(
+        "site_id", "region", "incidents.total_pollution_incidents", "incidents.primary_pollution_cause",
+        "incidents.total_edm_spills", F.col("wfd_status.ecological_status").alias("ecological_status"),
+        "discharge_points.total_discharge_points", nearest["distance_m"].alias("sewage_m"),
+    )
+
+
 QUERIES = {
+    "clean_incidents": clean_incidents,
+    "clean_overflows": clean_overflows,
+    "locate_permits": locate_permits,
+    "enriched_feed": enriched_feed,
     "radius_join": radius_join,
     "pair_distance": pair_distance,
     "point_in_polygon_join": point_in_polygon_join,
+    "point_in_polygon_parts": point_in_polygon_parts,
     "nearest_centroid_join": nearest_centroid_join,
+    "nearest_centroid_parts": nearest_centroid_parts,
     "clean_status": clean_status,
     "filter_water_impact": filter_water_impact,
     "scope_incidents": scope_incidents,
@@ -473,6 +553,11 @@ FROM fx_sites a JOIN {points} b ON b.lat BETWEEN a.lat - {dlat} AND a.lat + {dla
  AND b.lon BETWEEN a.lon - {dlon} AND a.lon + {dlon}) WHERE distance_m <= {radius}"""
 
 
+def _in(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_IMPACT = "water_impact IN ('Category 1 (Major)', 'Category 2 (Significant)', 'Category 3 (Minor)')"
 _NUM_SPILLS = sql_number("spill_count")
 
 CTES = {
@@ -483,6 +568,19 @@ CTES = {
     "in_tiles": """
 SELECT s.site_id, s.lat, s.lon, min(t.water_body_id) AS tile FROM fx_sites s LEFT JOIN fx_tiles t
 ON s.lat > t.lat0 AND s.lat < t.lat1 AND s.lon > t.lon0 AND s.lon < t.lon1 GROUP BY ALL""",
+    "in_parts": """
+SELECT s.site_id, s.lat, s.lon, min(t.water_body_id) AS tile FROM fx_sites s LEFT JOIN fx_tiles t
+ON s.lat > t.lat0 AND s.lat < t.lat0 + 0.875 AND (
+  s.lon > t.lon0 + 0.625 AND s.lon < t.lon0 + 0.875
+  OR s.lon > t.lon0 AND s.lon < t.lon0 + 0.5 AND NOT (s.lon >= t.lon0 + 0.125 AND s.lon <= t.lon0 + 0.375
+                                                      AND s.lat >= t.lat0 + 0.125 AND s.lat <= t.lat0 + 0.75)
+  OR s.lon > t.lon0 + 0.1875 AND s.lon < t.lon0 + 0.3125 AND s.lat > t.lat0 + 0.25 AND s.lat < t.lat0 + 0.5)
+GROUP BY ALL""",
+    # Areas in units of 1/512: outer 224, hole 80, island 16, second part 112.
+    "part_centres": """
+SELECT water_body_id, lon0 + (224 * 0.25 - 80 * 0.25 + 16 * 0.25 + 112 * 0.75) / 272.0 AS lon,
+       lat0 + (224 * 0.4375 - 80 * 0.4375 + 16 * 0.375 + 112 * 0.4375) / 272.0 AS lat
+FROM fx_tiles""",
     "centres": "SELECT water_body_id, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon FROM fx_tiles",
     "nearest_tile": f"""
 SELECT site_id, first(water_body_id ORDER BY d, water_body_id) AS near_id FROM (
@@ -545,6 +643,69 @@ FROM fx_discharges WHERE effluent_type IN ('SA', 'SB', 'SC', 'SD', 'SE', 'UA', '
         "dis_points", 5000, 0.05, 0.09, "b.permit_number AS point_id, b.discharge_category, b.discharge_site_name"
     ),
     **_projection_ctes("(SELECT * EXCLUDE (lat, lon) FROM fx_incidents)", "inc_phi"),
+    "rep_named": f"""
+SELECT i.incident_id, i.water_impact, i.grid_ref, f.poll_type AS pollutant_type, f.pollutant AS primary_pollutant, f.n_pollutants,
+       TRY_CAST(i.easting AS DOUBLE) AS e_said, i.northing AS n_said,
+       CAST(try_strptime(i.incident_time, '%d/%m/%Y %H:%M:%S') AS DATE) AS incident_date
+FROM fx_incident_reports i LEFT JOIN (
+  SELECT incident_id, first(poll_type ORDER BY ord, poll_type, pollutant) AS poll_type,
+         first(pollutant ORDER BY ord, poll_type, pollutant) AS pollutant, CAST(count(*) AS INTEGER) AS n_pollutants
+  FROM fx_pollutants GROUP BY incident_id) f USING (incident_id)
+WHERE i.{_IMPACT} AND (i.water_impact = 'Category 1 (Major)' OR incident_id IN (
+  SELECT incident_id FROM fx_pollutants WHERE (poll_type IN {_in(TYPES)} OR pollutant IN {_in(NAMES)})
+  AND pollutant NOT IN {_in(OUTSIDE)}))""",
+    "rep_grid": _grid_sql("grid_ref", "rep_named"),
+    "rep_place": """
+SELECT * EXCLUDE (easting, northing), coalesce(easting, CASE WHEN n_said IS NOT NULL THEN e_said END) AS easting,
+       CASE WHEN easting IS NOT NULL THEN northing ELSE n_said END AS northing FROM rep_grid""",
+    **_projection_ctes("rep_place", "rep_phi"),
+    "reports": """
+SELECT incident_date, pollutant_type, min(incident_id) AS incident_id, arg_min(water_impact, incident_id) AS water_impact,
+       arg_min(primary_pollutant, incident_id) AS primary_pollutant, arg_min(n_pollutants, incident_id) AS n_pollutants,
+       arg_min(plat, incident_id) AS lat, arg_min(plon, incident_id) AS lon, count(*) AS raw_report_count
+FROM rep_phi_done WHERE plat IS NOT NULL
+GROUP BY incident_date, pollutant_type, round(e_said / 100), round(n_said / 100)""",
+    "ret_grid": _grid_sql("outlet_ngr", "(SELECT * EXCLUDE (lat, lon) FROM fx_overflows)"),
+    **_projection_ctes("ret_grid", "ret_phi"),
+    "returned": f"""
+SELECT *, concat_ws('/', CAST(reporting_year AS VARCHAR), unique_id, permit_ref, outlet_ngr) AS point_id,
+       CASE WHEN contains(total_duration, '1899') THEN hour(TRY_CAST(total_duration AS TIMESTAMP)) +
+              minute(TRY_CAST(total_duration AS TIMESTAMP)) / 60 + second(TRY_CAST(total_duration AS TIMESTAMP)) / 3600
+            WHEN regexp_full_match(total_duration, '[0-9]+:[0-9]{{2}}:[0-9]{{2}}')
+              THEN CAST(split_part(total_duration, ':', 1) AS DOUBLE) + CAST(split_part(total_duration, ':', 2) AS DOUBLE) / 60
+                   + CAST(split_part(total_duration, ':', 3) AS DOUBLE) / 3600
+            ELSE {sql_number("total_duration")} END AS duration_hours
+FROM (
+  SELECT *, ({_NUM_SPILLS}) AS spills, row_number() OVER (PARTITION BY kind, unique_id, reporting_year,
+           CASE WHEN unique_id IS NULL THEN permit_ref END, CASE WHEN unique_id IS NULL THEN outlet_ngr END
+         ORDER BY ({_NUM_SPILLS}) IS NULL, ({_NUM_SPILLS}) DESC, {{order}}) AS nth
+  FROM (SELECT *, unnest([0, 1]) AS kind FROM ret_phi_done) WHERE kind = 0 OR total_duration <> 'unknown')
+WHERE nth = 1 AND (spills > 0 OR spills IS NULL)""".replace("{order}", "CASE kind WHEN 1 THEN total_duration END, permit_ref, outlet_ngr, water_company, total_duration"),
+    "permit_points": """
+SELECT concat_ws('/', permit_number, effluent_type, discharge_ngr) AS point_id, discharge_category, discharge_site_name,
+       plat AS lat, plon AS lon FROM dis_phi_done""",
+    "enr_incidents": f"""
+SELECT s.site_id, count(p.incident_id) AS n, mode_of.pollutant_type AS cause FROM fx_sites s
+LEFT JOIN (SELECT a.site_id, b.incident_id FROM fx_sites a JOIN reports b ON {haversine_sql("a", "b")} <= 12000) p USING (site_id)
+LEFT JOIN (SELECT site_id, first(pollutant_type ORDER BY k DESC, pollutant_type) AS pollutant_type FROM (
+  SELECT a.site_id, b.pollutant_type, count(*) AS k FROM fx_sites a JOIN reports b ON {haversine_sql("a", "b")} <= 12000
+  WHERE b.pollutant_type IS NOT NULL GROUP BY ALL) GROUP BY site_id) mode_of USING (site_id)
+GROUP BY ALL""",
+    "enr_spills": f"""
+SELECT s.site_id, count(b.point_id) AS n FROM fx_sites s LEFT JOIN (
+  SELECT a.site_id, p.point_id FROM fx_sites a JOIN (SELECT point_id, plat AS lat, plon AS lon FROM returned WHERE kind = 0) p
+  ON {haversine_sql("a", "p")} <= 12000) b USING (site_id) GROUP BY s.site_id""",
+    "enr_permits": f"""
+SELECT a.site_id, count(*) AS n,
+       CAST(round_even(min(d) FILTER (discharge_category IN ('sewage_works', 'storm_overflow')), 0) AS INTEGER) AS sewage_m
+FROM (SELECT a.site_id, b.discharge_category, {haversine_sql("a", "b")} AS d FROM fx_sites a JOIN permit_points b ON true) a
+WHERE d <= 12000 GROUP BY a.site_id""",
+    "enr_tiles": f"""
+SELECT i.site_id, t.ecological_class FROM in_tiles i LEFT JOIN (
+  SELECT site_id, first(water_body_id ORDER BY d, water_body_id) AS near_id FROM (
+    SELECT a.site_id, b.water_body_id, {haversine_sql("a", "b")} AS d FROM in_tiles a JOIN centres b ON true WHERE a.tile IS NULL)
+  WHERE d <= 10000 GROUP BY site_id) n USING (site_id)
+LEFT JOIN fx_tiles t ON t.water_body_id = coalesce(i.tile, n.near_id)""",
     "gappy": """
 SELECT incident_id, CASE WHEN incident_id % 3 <> 0 THEN lat END AS lat0, CASE WHEN incident_id % 3 <> 0 THEN lon END AS lon0,
        CASE WHEN incident_id % 2 = 0 THEN NULL ELSE easting END AS easting, northing FROM fx_incidents""",
@@ -567,21 +728,39 @@ def _sql(body: str) -> str:
     return sql(body, CTES)
 
 
-def _in(values: tuple[str, ...]) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
-_IMPACT = "water_impact IN ('Category 1 (Major)', 'Category 2 (Significant)', 'Category 3 (Minor)')"
 _NONE = "CASE WHEN total_discharge_points > 0 THEN {c} END AS {c}"
 
 ORACLES = {
+    "clean_incidents": _sql("""
+SELECT incident_id, incident_date, water_impact, pollutant_type, primary_pollutant, n_pollutants,
+       round(lat, 6) AS lat, round(lon, 6) AS lon, raw_report_count FROM reports"""),
+    "clean_overflows": _sql("""
+SELECT point_id, unique_id, permit_ref, reporting_year, spills AS spill_count, round(duration_hours, 6) AS duration_hours,
+       round(plat, 6) AS lat, round(plon, 6) AS lon FROM returned WHERE kind = 1"""),
+    "locate_permits": _sql("""
+SELECT point_id, discharge_category, discharge_site_name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM permit_points"""),
+    "enriched_feed": _sql("""
+SELECT s.site_id, s.region, CASE WHEN i.n + e.n > 0 THEN i.n END AS total_pollution_incidents,
+       CASE WHEN i.n + e.n > 0 THEN i.cause END AS primary_pollution_cause, CASE WHEN i.n + e.n > 0 THEN e.n END AS total_edm_spills,
+       nullif(t.ecological_class, 'Not assessed') AS ecological_status, p.n AS total_discharge_points, p.sewage_m
+FROM fx_sites s JOIN enr_incidents i USING (site_id) JOIN enr_spills e USING (site_id)
+JOIN enr_tiles t USING (site_id) LEFT JOIN enr_permits p USING (site_id)"""),
     "radius_join": _sql("SELECT site_id, incident_id, round(distance_m, 3) AS distance_m FROM inc_pairs"),
     "pair_distance": _sql(f"""
 SELECT a.site_id, round({haversine_sql("a", "b")}, 3) AS distance_m FROM fx_sites a
 JOIN (SELECT water_body_name, lat0 AS lat, lon0 AS lon FROM fx_tiles) b ON a.region = b.water_body_name"""),
     "point_in_polygon_join": _sql("""
 SELECT i.site_id, t.water_body_id, t.ecological_class FROM in_tiles i LEFT JOIN fx_tiles t ON i.tile = t.water_body_id"""),
+    "point_in_polygon_parts": _sql("""
+SELECT i.site_id, t.water_body_id, t.ecological_class FROM in_parts i LEFT JOIN fx_tiles t ON i.tile = t.water_body_id"""),
     "nearest_centroid_join": _sql("SELECT site_id, water_body_id, by_centroid FROM tiled"),
+    "nearest_centroid_parts": _sql(f"""
+SELECT site_id, coalesce(tile, near_id) AS water_body_id, near_id IS NOT NULL AS by_centroid
+FROM in_parts LEFT JOIN (
+  SELECT site_id, first(water_body_id ORDER BY d, water_body_id) AS near_id FROM (
+    SELECT a.site_id, b.water_body_id, {haversine_sql("a", "b")} AS d
+    FROM in_parts a JOIN part_centres b ON true WHERE a.tile IS NULL)
+  WHERE d <= 40000 GROUP BY site_id) USING (site_id)"""),
     "clean_status": _sql("SELECT * FROM status"),
     "filter_water_impact": _sql(f"SELECT incident_id, water_impact FROM fx_incidents WHERE {_IMPACT}"),
     "scope_incidents": _sql(f"""

@@ -50,6 +50,21 @@ SELECT o_orderkey AS incident_id, CAST(o_orderdate AS DATE) AS incident_date,
        CAST(-5 AS DOUBLE) + (o_orderkey * 32452843 % 6000) / CAST(1000 AS DOUBLE) AS lon,
        CAST(o_orderkey * 6151 % 700000 AS DOUBLE) AS easting,
        CAST(o_orderkey * 7717 % 650000 AS DOUBLE) AS northing
+FROM {orders}""",
+    "fx_incident_reports": """
+SELECT o_orderkey AS incident_id,
+       CASE o_orderstatus WHEN 'F' THEN 'Category 1 (Major)'
+            WHEN 'O' THEN 'Category 3 (Minor)' ELSE 'Category 4 (No Impact)' END AS water_impact,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'in spring'
+            ELSE concat(substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2), '/',
+              substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2), '/',
+              substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4), ' 13:45:10') END AS incident_time,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS STRING)
+            WHEN o_orderkey % 3 = 1 THEN concat('SU ', CAST(100 + o_orderkey * 37 % 900 AS STRING), ' ',
+              CAST(100 + o_orderkey * 53 % 900 AS STRING)) ELSE 'ZZ 12' END AS grid_ref,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'unknown'
+            ELSE CAST(400000 + o_orderkey * 6151 % 2 * 1000 AS STRING) END AS easting,
+       CAST(200000 + o_orderkey * 7717 % 2 * 1000 AS DOUBLE) AS northing
 FROM {orders}""",
     "fx_pollutants": """
 SELECT l_orderkey AS incident_id, l_linenumber AS ord, p_type AS poll_type, p_name AS pollutant

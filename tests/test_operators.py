@@ -63,6 +63,83 @@ def test_ranks_average_ties_and_skip_null(spark):
     assert quantile(df, "s", 0.5).first()[0] == 1.5
 
 
+def test_order_bits_are_those_of_the_double(spark):
+    import struct
+
+    from sitewatch.functions.numeric import order_bits
+
+    rng = np.random.default_rng(1)
+    values = [0.0, -0.0, 5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.7976931348623157e308, math.inf, 1.0]
+    values += [2.0**e for e in range(-1074, 1024)]
+    values += [math.nextafter(2.0**e, to) for e in range(-1022, 1024) for to in (0.0, math.inf)]
+    values += (rng.normal(0, 1, 3000) * 10.0 ** rng.integers(-300, 300, 3000)).tolist()
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for v, bits in df.select("v", order_bits(F.col("v"))).collect():
+        want = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        assert bits == (-want if v < 0 else want), v
+
+
+def _close_values(n):
+    """Groups whose values lie within 1e-9 of each other, or are neighbouring doubles."""
+    rng = np.random.default_rng(4)
+    step = math.ulp(3.0)
+    return {
+        None: (1.0 + rng.random(n) * 1e-9).tolist(),
+        "neighbours": [3.0 + step * int(i) for i in rng.permutation(n)],
+        "negative": (-5e-320 * rng.integers(0, n, n)).tolist(),
+        "mixed": rng.normal(0, 1, n).tolist() + [2.5] * n,
+        "tiny": [7.0],
+    }
+
+
+def test_quantiles_of_close_values_sort_little_at_a_time(spark, monkeypatch):
+    from sitewatch.operators import order_statistics
+
+    limit, sorted_parts = 30, []
+    monkeypatch.setattr(order_statistics, "SORTED_VALUES", limit)
+    plain = order_statistics._sorted_bins
+
+    def spied(rows, bins, keys, slots):
+        joined = order_statistics._to_bins(rows.select(*keys, "_bin", "_value", "_count"), bins, keys)
+        sorted_parts.extend(r["count"] for r in joined.groupBy(*keys, "_bin").count().collect())
+        return plain(rows, bins, keys, slots)
+
+    monkeypatch.setattr(order_statistics, "_sorted_bins", spied)
+    data = _close_values(1500)
+    df = spark.createDataFrame([(g, v) for g, values in data.items() for v in values], "g string, v double").repartition(6)
+    specs = {"m": (0.5, "linear"), "lo": (0.1, "nearest"), "p95": (0.95, "linear"), "top": (1.0, "linear")}
+    for broadcast in (100_000, 0):
+        monkeypatch.setattr(order_statistics, "BROADCAST_BINS", broadcast)
+        got = {r["g"]: r for r in grouped_quantiles(df, ["g"], "v", specs).collect()}
+        for name, values in data.items():
+            ordered = np.sort(values)
+            assert got[name]["lo"] == ordered[int(math.floor(0.1 * (len(ordered) - 1) + 0.5))]
+            for column, q in (("m", 0.5), ("p95", 0.95), ("top", 1.0)):
+                assert got[name][column] == pytest.approx(np.quantile(ordered, q), rel=1e-15, abs=0)
+    assert max(sorted_parts) <= limit
+    one = spark.createDataFrame([(v,) for v in data["neighbours"]], "v double")
+    assert quantile(one, "v", 0.25).first()[0] == pytest.approx(np.quantile(data["neighbours"], 0.25), rel=1e-15)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_ranks_of_close_values_come_from_even_ranges(spark, monkeypatch, descending):
+    from sitewatch.operators import order_statistics
+
+    monkeypatch.setattr(order_statistics, "RANGE_VALUES", 200)
+    monkeypatch.setattr(order_statistics, "SPLIT_ROWS", 100)
+    for name, values in _close_values(1500).items():
+        table = [(i, v, {"a": 1}) for i, v in enumerate([*values, None, math.nan])]
+        df = spark.createDataFrame(table, "i long, s double, m map<string,int>").repartition(5)
+        ranges = order_statistics.value_ranges(df, "s", descending)
+        assert all(r["count"] <= 600 for r in ranges.groupBy("_range").count().collect())
+        got = {r["i"]: r["rank"] for r in order_statistics.fractional_ranks(df, "s", "rank", descending).collect()}
+        _, place, count = np.unique(np.array(values) * (-1 if descending else 1), return_inverse=True, return_counts=True)
+        want = (np.cumsum(count) - count + (count + 1) / 2)[place]
+        assert [got[i] for i in range(len(values))] == want.tolist(), name
+        assert got[len(values)] is None and got[len(values) + 1] is None and len(got) == len(table)
+
+
 # --- cleaning ------------------------------------------------------------------------
 
 
@@ -251,6 +328,61 @@ def test_geographic_neighbours_equal_brute_force(spark, monkeypatch, split):
     assert [g[2] for g in sorted(found["c0"])] == sorted(f"c{i}" for i in range(1, 70))[:8]
 
 
+def test_an_outlier_far_away_costs_no_pairs(spark, monkeypatch):
+    """Levels follow the data: one point 10^9 spreads away leaves the rest as cheap as before."""
+    rng = np.random.default_rng(8)
+    points = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.random((3000, 2)))]
+    schema = "site_id string, x double, y double"
+    asked = []
+    near = neighbours._Index.near
+
+    def counted(self, queries):
+        pairs = near(self, queries)
+        asked.append((pairs.count(), self.levels))
+        return pairs
+
+    monkeypatch.setattr(neighbours._Index, "near", counted)
+    alone = rows(neighbours.planar_neighbours(spark.createDataFrame(points, schema), 4), "site_id", "rank", "peer_id")
+    far = spark.createDataFrame([*points, ("far", 1e9, -1e9)], schema)
+    both = rows(neighbours.planar_neighbours(far, 4), "site_id", "rank", "peer_id")
+    assert [r for r in both if r[0] != "far"] == alone
+    assert max(n for n, _ in asked) < 3000 * 40
+    assert len(asked[1][1]) <= len(asked[0][1]) + 3 and asked[1][1][-1] > 27
+
+
+def test_nearest_targets_equal_brute_force_in_dense_towns(spark, monkeypatch):
+    """Two tables: shared spots, a town of many targets and origins, the date line, a pole."""
+    monkeypatch.setattr(neighbours, "SPLIT_ROWS", 100)
+    rng = np.random.default_rng(13)
+
+    def town(n):
+        return np.column_stack([51.5 + rng.normal(0, 1e-3, n), -0.1 + rng.normal(0, 1e-3, n)])
+
+    wide = np.column_stack([rng.uniform(-60, 60, 100), rng.uniform(-180, 180, 100)])
+    there = np.concatenate([town(1500), wide, [[89.9, 0.0], [89.9, 180.0], [5.0, 179.99], [5.0, -179.99]], np.repeat([[52.0, 0.5]], 60, axis=0)])
+    here = np.concatenate([town(1500), wide[:20] + 0.1, [[90.0, 0.0], [5.0, 180.0], [52.0, 0.5]], np.repeat([[52.0, 0.5]], 300, axis=0)])
+    targets = [(f"t{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(there)] + [("bad", math.nan, 0.0)]
+    origins = [(f"o{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(here)] + [("none", None, 1.0)]
+    asked = []
+    near = neighbours._Index.near
+    monkeypatch.setattr(neighbours._Index, "near", lambda self, q: asked.append(near(self, q).count()) or near(self, q))
+    found = neighbours.nearest_targets(
+        spark.createDataFrame(origins, "site_id string, lat double, lon double").repartition(3),
+        spark.createDataFrame(targets, "peer_id string, lat double, lon double").repartition(3),
+        3,
+    )
+    got = {(r["site_id"], r["rank"]): (r["peer_id"], r["distance_m"]) for r in found.collect()}
+    assert len(got) == 3 * len(here) and max(asked) < 40 * len(here)
+    for i in [*range(0, 1500, 60), *range(1500, len(here), 7)]:
+        want = sorted((sphere((0, here[i][0], here[i][1]), t), t[0]) for t in targets[:-1])[:3]
+        mine = [got[f"o{i:04d}", n] for n in (1, 2, 3)]
+        assert [d for _, d in mine] == pytest.approx([d for d, _ in want], abs=1e-3)
+        if want[0][0] == want[2][0]:
+            assert [p for p, _ in mine] == [p for _, p in want]
+    empty = spark.createDataFrame([], "peer_id string, lat double, lon double")
+    assert neighbours.nearest_targets(spark.createDataFrame(origins[:3], "site_id string, lat double, lon double"), empty, 3).count() == 0
+
+
 def test_fewer_points_than_neighbours(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, 2.0), ("c", 9.0, 9.0)], "site_id string, x double, y double")
     assert neighbours.planar_neighbours(df, 10).count() == 6
@@ -306,10 +438,85 @@ def test_radius_join_equals_brute_force_on_hot_cells(spark, monkeypatch):
     assert rows(spatial.radius_join(left, right), "site_id", "point_id") == sorted(want, key=repr)
 
 
+def test_radius_join_over_the_date_line_and_the_pole(spark):
+    sites = [("e", 10.0, 179.999), ("w", 10.0, -179.999), ("n", 89.995, 0.0), ("wide", 0.0, 180.0)]
+    points = [(1, 10.0, -179.995), (2, 10.0, 179.99), (3, 89.995, 180.0), (4, 89.99, 90.0), (5, 0.001, -180.0), (6, 10.0, 0.0)]
+    left = spark.createDataFrame(sites, "site_id string, lat double, lon double")
+    right = spark.createDataFrame(points, "point_id long, lat double, lon double")
+    for radius in (2000.0, 50_000.0, 9_000_000.0):
+        want = sorted((s[0], p[0]) for s in sites for p in points if sphere(s, p) <= radius)
+        assert rows(spatial.radius_join(left, right, radius), "site_id", "point_id") == sorted(want, key=repr)
+
+
+def test_radius_join_with_a_hundred_thousand_sites_at_one_spot(spark, monkeypatch):
+    """Both sides of the crowded cell are split: no field of the grid holds more than its share."""
+    monkeypatch.setattr(spatial, "ROWS_PER_SPLIT", 5000)
+    spot = spark.range(100_000).select(F.concat(F.lit("s"), "id").alias("site_id"), F.lit(51.5).alias("lat"), F.lit(0.25).alias("lon"))
+    points = spark.range(40).select(F.col("id").alias("point_id"), (51.5 + F.col("id") * 0.001).alias("lat"), F.lit(0.25).alias("lon"))
+    near = [i for i in range(40) if sphere(("", 51.5, 0.25), ("", 51.5 + i * 0.001, 0.25)) <= 2000]
+    got = spatial.radius_join(spot, points)
+    assert got.count() == 100_000 * len(near)
+    assert sorted(r[0] for r in got.select("point_id").distinct().collect()) == near
+    visits = spot.select(F.lit(1).alias("c"), "site_id")
+    tagged = visits.join(F.broadcast(skew.hot_keys(visits, ["c"], 5000)), "c").withColumn("part", skew._own_split("site_id", "_splits"))
+    assert max(r["count"] for r in tagged.groupBy("part").count().collect()) < 2 * 5000
+
+
 def _ring(*corners):
     return [(float(x), float(y)) for x, y in corners]
 
 
+def _even_odd(rings, x, y):
+    """Plain ray casting in rational numbers; None on an edge."""
+    from fractions import Fraction as Q
+
+    x, y, inside = Q(x), Q(y), False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]):
+            ax, ay, bx, by = Q(ax), Q(ay), Q(bx), Q(by)
+            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return None
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                inside = not inside
+    return inside
+
+
+@pytest.mark.parametrize("split", [10**9, 20])
+def test_polygons_with_holes_and_parts_equal_ray_casting(spark, monkeypatch, split):
+    """Stars over many cells, squares on cell borders, holes, islands, points on corners."""
+    from sitewatch.operators import polygons as module
+
+    monkeypatch.setattr(module, "ROWS_PER_SPLIT", split)
+    rng = np.random.default_rng(21)
+
+    def star(cx, cy, r, n):
+        return [(cx + r * (1 + 0.4 * (i % 2)) * math.cos(2 * math.pi * i / n), cy + r * (1 + 0.4 * (i % 2)) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+
+    def square(x, y, w):
+        return [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+
+    shapes = {
+        "a": [[star(0.3, 0.2, 1.7, 41), star(0.3, 0.2, 0.9, 24)[::-1]], [star(0.3, 0.2, 0.4, 9)]],
+        "b": [[square(-1.0, -1.0, 0.5), square(-0.875, -0.875, 0.25)[::-1]], [square(2.0, 2.0, 0.125)], [square(2.125, 2.0, 0.125)]],
+        "c": [[[(-3.0, -3.0), (3.0, -2.99), (3.0, -2.5), (-3.0, -2.51)]]],
+        "d": [[[(5.0, 5.0)]], [[]]],
+        "e": [[square(0.25, 2.5, 0.03125)], [square(0.25, 2.5, 0.03125)]],  # twice: nothing is inside
+    }
+    points = rng.uniform(-3.2, 3.2, (900, 2)).tolist()
+    points += [[i / 8, j / 8] for i in range(-9, 20) for j in range(-9, 20)]
+    points += [[0.25 + float(x), 2.5 + float(y)] for x, y in rng.uniform(0, 0.03125, (40, 2))]
+    sites = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(points)] + [(-1, None, 1.0)], "site_id int, lat double, lon double")
+    kind = "water_body_id string, parts array<array<array<struct<x double, y double>>>>, name string"
+    table = spark.createDataFrame([*[(k, v, "n" + k) for k, v in shapes.items()], ("a", shapes["a"], "na"), (None, shapes["c"], "x")], kind)
+    table = table.dropDuplicates(["water_body_id"])
+    for polygons in (table, table.union(table.limit(0))):
+        got = {r["site_id"]: r["water_body_id"] for r in spatial.point_in_polygon_join(sites, polygons).collect()}
+    assert len(got) == len(points) + 1 and got[-1] is None
+    for i, (x, y) in enumerate(points):
+        want = [k for k, parts in sorted(shapes.items()) if _even_odd([r for part in parts for r in part if r], x, y)]
+        assert got[i] == (want[0] if want else None), (x, y)
+
+
 def test_polygons_concave_ring_edges_and_fallback(spark):
     u_shape = _ring((0, 0), (3, 0), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3))
     polygons = spark.createDataFrame(
