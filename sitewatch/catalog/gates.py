@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitewatch.catalog.base import clean_layer, sql
@@ -10,6 +12,8 @@ from sitewatch.catalog.feed import _feed, _previous, scored
 from sitewatch.config import GateSettings
 from sitewatch.fixtures import view
 from sitewatch.operators import gates
+from sitewatch.operators.checkpoints import checkpoint_root
+from sitewatch.sources.feed import read_feed_lines
 
 AS_OF = 2002
 SETTINGS = GateSettings(
@@ -65,7 +69,65 @@ def gate_schema(spark, sf):
     return gates.gate_schema(damaged).select(*SHOWN)
 
 
+def _damaged_feed(spark, sf):
+    """Sites as one file of JSON lines, some cut off, some without a site, some blank."""
+    folder = f"{checkpoint_root(spark)}/sitewatch/files-{uuid.uuid4().hex}"
+    sites = view(spark, sf, "fx_sites").select("site_id", "lat", "lon")
+    whole = F.to_json(F.struct("site_id", "lat", "lon"))
+    text = (
+        F.when(F.col("site_id").endswith("13"), F.substring(whole, 1, 20))
+        .when(F.col("site_id").endswith("77"), F.to_json(F.struct("lat", "lon")))
+        .when(F.col("site_id").endswith("99"), F.lit(""))
+        .otherwise(whole)
+    )
+    sites.coalesce(1).sortWithinPartitions("site_id").select(text.alias("value")).write.text(f"{folder}/feed")
+    return folder
+
+
+def gate_readable(spark, sf):
+    return gates.gate_readable(spark, _damaged_feed(spark, sf)).select(*SHOWN)
+
+
+def damaged_lines(spark, sf):
+    """Which lines of a feed cannot be read."""
+    return read_feed_lines(spark, _damaged_feed(spark, sf)).where("not readable").select("line", "site_id")
+
+
+def _gate_1(spark, sf):
+    obs = _with_region(spark, sf)
+    measured = gates.measure_observations(obs, ("0001", "0004", "0007"), SETTINGS)
+    return measured, gates.checks_of_observations(measured, obs.columns, AS_OF, None, SETTINGS)
+
+
+def gate_metadata(spark, sf):
+    measured, _ = _gate_1(spark, sf)
+    return gates.gate_metadata(measured).select(
+        "row_count", "site_count", F.array_join("determinand_codes", ",").alias("codes"),
+        F.date_format("date_min", "yyyy-MM-dd").alias("date_min"), F.date_format("date_max", "yyyy-MM-dd").alias("date_max"),
+        F.array_join("regions", ",").alias("regions"),
+    )
+
+
+def run_gates(spark, sf):
+    """Checks of all three gates evaluated together; what is returned is the written report."""
+    _, data = _gate_1(spark, sf)
+    table, _ = scored(spark, sf)
+    told = _feed(spark, sf)
+    checks = data.unionByName(gates.gate_known_bad(table, SETTINGS)).unionByName(gates.gate_known_clean(table, SETTINGS))
+    for check in (gates.gate_rank_stability(table, _previous(table), SETTINGS), gates.gate_flag_band(table, SETTINGS)):
+        checks = checks.unionByName(check)
+    for check in (gates.gate_narratives(told, SETTINGS), gates.gate_coordinates(told, SETTINGS), gates.gate_rank_continuity(told)):
+        checks = checks.unionByName(check)
+    report = f"{checkpoint_root(spark)}/sitewatch/files-{uuid.uuid4().hex}"
+    gates.run_gates(checks, report, halt=False)
+    return spark.read.schema(gates.CHECK_SCHEMA).json(report).select(*SHOWN)
+
+
 QUERIES = {
+    "gate_readable": gate_readable,
+    "damaged_lines": damaged_lines,
+    "gate_metadata": gate_metadata,
+    "run_gates": run_gates,
     "gate_row_count": _over_clean(lambda df: gates.gate_row_count(df, None, SETTINGS)),
     "gate_row_count_previous": _over_clean(lambda df: gates.gate_row_count(df, 40_000, SETTINGS)),
     "gate_site_count": _over_clean(lambda df: gates.gate_site_count(df, SETTINGS)),
@@ -232,3 +294,27 @@ ORACLES = {
                    AND site_id NOT IN (SELECT site_id FROM site_scores WHERE anomaly_rank <= 50)) AS exited""",
     ),
 }
+
+_DAMAGED = """
+SELECT site_id, row_number() OVER (ORDER BY site_id) AS line, right(site_id, 2) AS tail FROM fx_sites"""
+ORACLES |= {
+    "gate_readable": _row(
+        _OUT, "readable", "bad = 0", "concat(n, ' entries, ', bad, ' unreadable')",
+        f"SELECT count(*) FILTER (tail <> '99') AS n, count(*) FILTER (tail IN ('13', '77')) AS bad FROM ({_DAMAGED})",
+    ),
+    "damaged_lines": sql(f"SELECT line, CAST(NULL AS VARCHAR) AS site_id FROM ({_DAMAGED}) WHERE tail IN ('13', '77')"),
+    "gate_metadata": sql("""
+SELECT count(*) AS row_count, count(DISTINCT site_id) AS site_count,
+       string_agg(DISTINCT determinand_code, ',' ORDER BY determinand_code) AS codes,
+       strftime(min(sample_dt), '%Y-%m-%d') AS date_min, strftime(max(sample_dt), '%Y-%m-%d') AS date_max,
+       string_agg(DISTINCT region, ',' ORDER BY region) AS regions
+FROM cleaned JOIN fx_sites USING (site_id)""", FEED_CTES),
+    "run_gates": " UNION ALL ".join(
+        f"SELECT * FROM ({ORACLES[name]})"
+        for name in (
+            "gate_row_count", "gate_site_count", "gate_determinands", "gate_null_rates", "gate_value_ranges", "gate_temporal",
+            "gate_regions", "gate_known_bad", "gate_known_clean", "gate_rank_stability", "gate_flag_band", "gate_narratives",
+            "gate_coordinates", "gate_rank_continuity",
+        )
+    ),
+}

@@ -56,18 +56,29 @@ def read_feed(spark, sf):
 
 
 def latest_snapshot(spark, sf):
-    """Two archived runs, of which the later one holds half of the sites."""
+    """Two archived runs of all sites, told apart by a column of theirs."""
     archive, places = _folder(spark), _places(spark, sf)
-    layers.snapshot_run(places, archive, "places", "20260101_000000")
-    layers.snapshot_run(places.where("site_id LIKE '%7'"), archive, "places", "20260102_000000")
+    layers.snapshot_run(places.withColumn("release", F.lit(2)), archive, "places", "20260102_000000")
+    layers.snapshot_run(places.withColumn("release", F.lit(1)), archive, "places", "20260101_000000")
     return layers.latest_snapshot(spark, archive, "places")
 
 
+def write_feed(spark, sf):
+    """Two versions of a feed published one after the other; readers see the second."""
+    folder = _folder(spark)
+    places = _places(spark, sf).withColumn("anomaly_rank", F.abs(F.hash("site_id")))
+    header = places.agg(F.count(F.lit(1)).alias("sites"))
+    feed.write_feed(places.where("lat > 52"), header, folder)
+    feed.write_feed(places.withColumn("lon", F.col("lon") + 1), header, folder)
+    return feed.read_feed(spark, folder)
+
+
 QUERIES = {
     "read_observations": read_observations,
     "read_lookup": read_lookup,
     "write_layer": write_layer,
     "read_feed": read_feed,
+    "write_feed": write_feed,
     "latest_snapshot": latest_snapshot,
 }
 _RAW = f"SELECT {', '.join(_TEXTS)} FROM fx_obs_raw"
@@ -76,7 +87,6 @@ ORACLES = {
     "read_lookup": sql("SELECT site_id, wfd_type FROM fx_vectors"),
     "write_layer": sql(_RAW),
     "read_feed": sql("SELECT site_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM fx_sites"),
-    "latest_snapshot": sql(
-        "SELECT site_id, lat, lon, '20260102_000000' AS run_id FROM fx_sites WHERE site_id LIKE '%7'"
-    ),
+    "write_feed": sql("SELECT site_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) + 1 AS lon FROM fx_sites"),
+    "latest_snapshot": sql("SELECT site_id, lat, lon, 2 AS release, '20260102_000000' AS run_id FROM fx_sites"),
 }

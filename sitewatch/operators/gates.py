@@ -311,15 +311,19 @@ def gate_peer_coverage(scored: DataFrame, settings: GateSettings = GateSettings(
 
 
 def gate_readable(spark: SparkSession, path: str) -> DataFrame:
-    """The feed exists and every line parses and names a site; counts the entries."""
+    """The feed exists and every line parses and names a site.
+
+    Counts entries and unreadable lines, and tells file and number of the first
+    ``DETAIL_ROWS`` of them.
+    """
     try:
-        lines = read_feed_lines(spark, path)
-        counted = lines.agg(
-            F.count(F.lit(1)).alias("entries"),
-            F.count_if(F.col("_corrupt").isNotNull() | F.col("site_id").isNull()).alias("unreadable"),
-        )
+        lines = cut(read_feed_lines(spark, path), "feed_lines")
     except (AnalysisException, FileNotFoundError) as error:
         return _single(spark, OUTPUT, "readable", False, f"Cannot read {path}: {type(error).__name__}")
+    first = lines.where("not readable").select("file", "line").orderBy("file", "line").limit(DETAIL_ROWS)
+    counted = lines.agg(F.count(F.lit(1)).alias("entries"), F.count_if(~F.col("readable")).alias("unreadable")).withColumn(
+        "lines", first.agg(F.array_sort(F.collect_list(F.struct("file", "line"))).alias("l")).scalar()
+    )
     passed = (F.col("unreadable") == 0) & (F.col("entries") > 0)
     message = F.format_string("%d entries, %d unreadable", F.col("entries"), F.col("unreadable"))
     return _check(counted, OUTPUT, "readable", passed, message)

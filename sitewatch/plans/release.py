@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.config import Settings
-from sitewatch.operators import cleaning, features, gates, narrative, peers, pressures, scoring, spatial, statistics
+from sitewatch.operators import cleaning, features, gates, narrative, peers, scoring, statistics
 from sitewatch.operators import feed as feeds
 from sitewatch.operators.checkpoints import run_folder
 from sitewatch.plans.fingerprint import build_signatures
-from sitewatch.sources.feed import write_feed, write_flagged
-from sitewatch.sources.layers import latest_snapshot, read_layer, snapshot_run, write_layer
+from sitewatch.plans.pressures import Pressures, enriched
+from sitewatch.sources.feed import write_feed
+from sitewatch.sources.layers import has_layer, latest_snapshot, read_layer, snapshot_run, write_layer
 from sitewatch.sources.observations import read_observations
 
 OBSERVATIONS, STATS, VALUES, SITES = "observations", "site_stats", "site_values", "sites"
 MODEL, ZSCORES, SCORED, FEED, HEADER = "feature_model", "zscores", "scored_sites", "feed", "header"
+ENRICHED, MEASURES = "feed_enriched", "gate_1_measures"
 
 
 def ingest(spark: SparkSession, raw_dir: str, root: str, settings: Settings = Settings()) -> DataFrame:
@@ -85,58 +87,22 @@ def narrate(spark: SparkSession, root: str, settings: Settings = Settings()) ->
     return read_layer(spark, root, FEED)
 
 
-def publish(spark: SparkSession, root: str, settings: Settings = Settings()) -> None:
-    """Write the published files of the feed layer as it stands."""
-    feed = read_layer(spark, root, FEED)
+def publish(spark: SparkSession, root: str, settings: Settings = Settings(), layer: str = FEED) -> None:
+    """Publish a feed layer; readers see the version before until this one is complete."""
+    feed = read_layer(spark, root, layer)
     model = read_layer(spark, root, MODEL)
     names = [r["feature"] for r in model.orderBy("position").select("feature").collect()]
     period = statistics.data_period(read_layer(spark, root, OBSERVATIONS))
     header = feeds.feed_header(feed, period, settings.scoring.method, names, settings.features.panel)
     write_feed(feed, header, f"{root}/published")
-    write_flagged(feed, f"{root}/published/flagged")
 
 
-def enrich(
-    spark: SparkSession,
-    root: str,
-    incidents: DataFrame,
-    overflows: DataFrame,
-    polygons: DataFrame,
-    permits: DataFrame,
-    settings: Settings = Settings(),
-) -> DataFrame:
-    """Merge pressures, water-body status and permits into the feed layer.
-
-    ``incidents`` and ``overflows`` are cleaned tables with ``lat, lon``; ``permits``
-    are classified, located and deduplicated.
-    """
-    feed = read_layer(spark, root, FEED)
-    sites = feed.select("site_id", "lat", "lon")
-    near = spatial.radius_join(
-        sites, incidents.select("incident_id", "incident_date", "pollutant_type", "lat", "lon"), point_id="incident_id"
-    )
-    spills = spatial.radius_join(
-        sites,
-        overflows.select("point_id", "reporting_year", "spill_count", "duration_hours", "lat", "lon"),
-    )
-    summary = pressures.pressure_summary(
-        pressures.site_pressure_join(
-            pressures.incident_summary(sites, near), pressures.overflow_summary(sites, spills)
-        )
-    )
-    rivers = spatial.rivers(polygons).drop("water_body_type")
-    status = spatial.clean_status(
-        spatial.nearest_centroid_join(spatial.point_in_polygon_join(sites, rivers), rivers)
-    )
-    around = spatial.radius_join(
-        sites, permits.select("point_id", "discharge_category", "discharge_site_name", "lat", "lon")
-    )
-    merged = pressures.merge_site_layers(
-        pressures.merge_incidents(feed, summary), status, pressures.discharge_summary(sites, around)
-    )
+def enrich(spark: SparkSession, root: str, tables: Pressures, settings: Settings = Settings()) -> DataFrame:
+    """The feed with pressures, water-body status and permits, as its own layer, published."""
     # A table cannot be overwritten while it is read, so the result gets its own name.
-    write_layer(merged, root, f"{FEED}_enriched")
-    return read_layer(spark, root, f"{FEED}_enriched")
+    write_layer(enriched(read_layer(spark, root, FEED), tables), root, ENRICHED)
+    publish(spark, root, settings, ENRICHED)
+    return read_layer(spark, root, ENRICHED)
 
 
 def run_release(
@@ -150,18 +116,25 @@ def run_release(
     settings: Settings = Settings(),
     first_layer: int = 1,
     halt: bool = True,
+    tables: Pressures | None = None,
 ) -> DataFrame:
     """All layers with a gate after observations, scores and feed; archives the run.
 
-    Intermediate tables go below one folder, which is removed at the end.
+    With ``tables`` the feed is enriched before it is checked, and the enriched one is what
+    is published and archived. What gate 1 measured is kept when it passes and archived
+    with the run, for the next release to compare with. Intermediate tables go below one
+    folder, which is removed at the end.
     """
     with run_folder(spark):
         if first_layer <= 1:
             obs = ingest(spark, raw_dir, root, settings)
-            before = latest_snapshot(spark, archive, "row_counts")
+            before = latest_snapshot(spark, archive, MEASURES)
             rows = before.first()["row_count"] if before is not None else None
-            checks = gates.gate_1(obs, as_of_year, rows, settings.gates)
-            gates.run_gates(checks, f"{root}/reports/gate_1", halt)
+            measured = gates.measure_observations(obs, settings=settings.gates)
+            checks = gates.checks_of_observations(measured, obs.columns, as_of_year, rows, settings.gates)
+            results = gates.run_gates(checks, f"{root}/reports/gate_1", halt)
+            if all(r["passed"] for r in results):
+                write_layer(gates.gate_metadata(measured), root, MEASURES)
         if first_layer <= 2:
             fingerprint(spark, root, lookup, settings)
         if first_layer <= 3:
@@ -169,10 +142,13 @@ def run_release(
             checks = gates.gate_2(scored, latest_snapshot(spark, archive, SCORED), settings.gates)
             gates.run_gates(checks, f"{root}/reports/gate_2", halt)
         feed = narrate(spark, root, settings)
+        if tables is not None:
+            feed = enrich(spark, root, tables, settings)
         readable = gates.gate_readable(spark, f"{root}/published")
         checks = readable.unionByName(gates.gate_3(feed, latest_snapshot(spark, archive, FEED), settings.gates))
         gates.run_gates(checks, f"{root}/reports/gate_3", halt)
-        counts = read_layer(spark, root, OBSERVATIONS).agg(F.count(F.lit(1)).alias("row_count"))
-        for name, table in ((SCORED, read_layer(spark, root, SCORED)), (FEED, feed), ("row_counts", counts)):
-            snapshot_run(table, archive, name, run_id)
+        snapshot_run(read_layer(spark, root, SCORED), archive, SCORED, run_id)
+        snapshot_run(feed, archive, FEED, run_id)
+        if has_layer(spark, root, MEASURES):
+            snapshot_run(read_layer(spark, root, MEASURES), archive, MEASURES, run_id)
     return feed

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType
 
+from sitewatch.sources.layers import current_version, new_version, publish_version
 
-def write_feed(feed: DataFrame, header: DataFrame, path: str) -> None:
-    """Feed as JSON lines in rank order and the envelope beside it.
 
-    Lines are written by all tasks in parallel; a single document would have to
-    pass through one of them.
+def write_feed(feed: DataFrame, header: DataFrame, path: str) -> str:
+    """Publish the feed, its envelope and the flagged summaries together; returns the version.
+
+    The feed is JSON lines in rank order, written by all tasks in parallel; a single
+    document would have to pass through one of them. Everything goes to a new version
+    below ``path``, which becomes the current one when it is complete.
     """
+    spark, version = feed.sparkSession, new_version(path)
     ordered = feed.orderBy("anomaly_rank", "site_id")
-    ordered.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/feed")
+    ordered.write.option("ignoreNullFields", False).json(f"{version}/feed")
     stamped = header.withColumn("generated_at", F.current_timestamp().cast("string"))
-    stamped.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/header")
+    stamped.coalesce(1).write.option("ignoreNullFields", False).json(f"{version}/header")
+    if {"is_flagged", "summary"} <= set(feed.columns):
+        write_flagged(feed, f"{version}/flagged")
+    return publish_version(spark, path, version)
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """Folder of the current version of a published feed, or ``path`` itself if it has none."""
+    return current_version(spark, path) or path
 
 
 def write_flagged(feed: DataFrame, path: str) -> None:
@@ -27,15 +39,27 @@ def write_flagged(feed: DataFrame, path: str) -> None:
 
 
 def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of the feed with ``_corrupt`` holding text that does not parse."""
-    schema = StructType(
-        [StructField("site_id", StringType()), StructField("_corrupt", StringType())]
+    """Every line of the feed: ``file, line, site_id, readable``; blank lines do not count.
+
+    Lines are numbered from 1 within their file though files are read in parts: the parts'
+    line counts, one row each, tell where a part begins.
+    """
+    read = spark.read.text(f"{published(spark, path)}/feed").select(
+        "value",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_part"),
+        F.monotonically_increasing_id().alias("_at"),
     )
-    return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(f"{path}/feed")
+    parts = read.groupBy("file", "_part").agg(F.count(F.lit(1)).alias("_lines"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    parsed = F.from_json("value", "site_id string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    lines = read.where(F.trim("value") != "").withColumn("_record", parsed).drop("value")
+    return lines.join(parts.drop("_lines"), ["file", "_part"]).select(
+        "file",
+        (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"),
+        F.col("_record.site_id").alias("site_id"),
+        (F.col("_record._corrupt").isNull() & F.col("_record.site_id").isNotNull()).alias("readable"),
     )
 
 
@@ -46,7 +70,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     list of records or an object with a ``feed`` list.
     """
     if not path.endswith(".json"):
-        table = spark.read.json(f"{path}/feed")
+        table = spark.read.json(f"{published(spark, path)}/feed")
     else:
         table = spark.read.option("multiLine", True).json(path)
         field = next((f for f in table.schema.fields if f.name == "feed"), None)
