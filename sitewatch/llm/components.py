@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewatch.operators.checkpoints import cut
+from sitewatch.operators.skew import split_hot_join
 
-STAR_ROUNDS = 2
+#: Rounds end when one finds less than this part of what the one before found.
+SHRINKING = 4
+#: Members of one signature that a task compares with others.
+ROWS_PER_SPLIT = 1_000
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -57,32 +61,52 @@ def _print(edges: DataFrame) -> tuple:
     )
 
 
-def link_groups(members: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_groups(
+    members: DataFrame,
+    linked: Callable[[DataFrame], DataFrame],
+    traits: DataFrame,
+    near: Callable[[str, str], Column],
+) -> DataFrame:
     """Links ``a, b`` with the components of all pairs that share a signature and are linked.
 
     ``members`` has ``signature, node, slack``; two nodes are a pair of a signature if
-    their slacks add up to zero or less. ``linked`` returns the pairs ``a, b`` that are
-    links. Few pairs are asked where groups are large: see the single steps. At
-    the end every pair of one signature has been asked or lies in one component.
+    their slacks add up to zero or less. ``traits`` has ``node`` and a few numbers of each
+    node, and ``near(one, other)`` a condition on two columns of such numbers that every
+    linked pair fulfils. It is tested where members meet, so only pairs that fulfil it are
+    ever written. ``linked`` returns the pairs ``a, b`` that are links.
+
+    In every round each open signature has another member as its head, and all members of
+    other components are compared with it. Rounds go on while they find a good part of what
+    the round before found; then all pairs of one signature that are still in different
+    components are compared. At the end every pair of one signature has been asked, ruled
+    out, or lies in one component.
     """
     links = cut(linked(_first_pairs(members)), "links")
+    named = [c for c in traits.columns if c != "node"]
     open_ones = _labelled(members, links)
-    for _ in range(STAR_ROUNDS):
-        links = cut(links.unionByName(linked(_star_pairs(open_ones))), "links")
+    open_ones = open_ones.join(traits.select("node", F.struct(*named).alias("trait")), "node")
+    found, round_no = None, 0
+    while found is None or found:
+        open_ones = cut(open_ones, "group_open")
+        fresh = cut(linked(_head_pairs(open_ones, near, round_no)), "links_of_round")
+        before, found = found, fresh.count()
+        if not found:
+            break
+        links = cut(links.unionByName(fresh), "links")
         open_ones = _labelled(open_ones.drop("component"), links)
-    return cut(links.unionByName(linked(_remaining_pairs(open_ones))), "links")
+        if before is not None and found * SHRINKING < before:
+            break
+        round_no += 1
+    return cut(links.unionByName(linked(_remaining_pairs(open_ones, near))), "links")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of signatures that several components share, with their component."""
     known = components(links, "group_components")
     named = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ones = (
-        named.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("signature")
-    )
-    left = members.join(cut(open_ones, "group_signatures"), "signature").select("signature", "node", "slack")
-    named = left.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return cut(named, "group_open")
+    within = Window.partitionBy("signature")
+    named = named.withColumns({"_x": F.min("component").over(within), "_y": F.max("component").over(within)})
+    return named.where("_x <> _y").drop("_x", "_y")
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
@@ -93,22 +117,12 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return _pairs(ends.join(heads.select("signature", "head"), "signature").where("node <> head").select("head", "node"))
 
 
-def _star_pairs(labelled: DataFrame) -> DataFrame:
-    """Per signature, one node of every component against the node of the least slack.
-
-    Two components that meet in many signatures are asked once in a round.
-    """
-    each = labelled.groupBy("signature", "component").agg(F.min(F.struct("slack", "node")).alias("s"))
-    each = cut(each.select("signature", "component", "s.slack", "s.node"), "group_each")
-    least = (
-        each.groupBy("signature")
-        .agg(F.min(F.struct("slack", "component", "node")).alias("l"))
-        .select("signature", F.col("l.component").alias("own"), F.col("l.node").alias("head"), F.col("l.slack").alias("low"))
-    )
-    met = each.join(least, "signature").where("component <> own and slack + low <= 0")
-    return _pairs(
-        met.groupBy("own", "component").agg(F.min(F.struct("head", "node")).alias("p")).select("p.head", "p.node")
-    )
+def _head_pairs(open_ones: DataFrame, near: Callable[[str, str], Column], round_no: int) -> DataFrame:
+    """Per signature, all members of other components against one member drawn by a hash."""
+    drawn = F.struct(F.xxhash64("node", F.lit(round_no)).alias("draw"), "node", "component", "slack", "trait")
+    met = open_ones.withColumn("head", F.min(drawn).over(Window.partitionBy("signature")))
+    met = met.where((F.col("component") != F.col("head.component")) & (F.col("slack") + F.col("head.slack") <= 0))
+    return _pairs(met.where(near("trait", "head.trait")).select(F.col("head.node").alias("head"), "node"))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -116,15 +130,21 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
-def _remaining_pairs(labelled: DataFrame) -> DataFrame:
-    """Per signature, nodes outside its largest component against all nodes not in theirs."""
-    sizes = labelled.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
+def _remaining_pairs(open_ones: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Per signature, nodes outside its largest component against all nodes not in theirs.
+
+    Large signatures are split on both sides of the join, and conditions are part of it.
+    """
+    sizes = open_ones.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = (
         sizes.groupBy("signature")
         .agg(F.max(F.struct("n", "component")).alias("top"))
         .select("signature", F.col("top.component").alias("largest"))
     )
-    told = cut(labelled.join(largest, "signature"), "group_told")
-    minor = told.where("component <> largest").select("signature", F.col("node").alias("m"), F.col("component").alias("c"), F.col("slack").alias("s"))
-    other = told.select("signature", "node", "component", "slack")
-    return _pairs(minor.join(other, "signature").where("c <> component and s + slack <= 0").select("m", "node"))
+    told = cut(open_ones.join(largest, "signature"), "group_told")
+    minor = told.where("component <> largest").select(
+        "signature", F.col("node").alias("m"), F.col("component").alias("c"), F.col("slack").alias("s"), F.col("trait").alias("t")
+    )
+    other = told.select("signature", "node", "component", "slack", "trait")
+    met = split_hot_join(minor, other, ["signature"], "node", ROWS_PER_SPLIT, probe_id="m")
+    return _pairs(met.where("c <> component and s + slack <= 0").where(near("t", "trait")).select("m", "node"))

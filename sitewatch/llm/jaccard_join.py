@@ -21,9 +21,11 @@ distance may not exceed the bound, and then an exact comparison of the sets.
 Documents with equal sets are one node. Within the nodes of a signature, links are found
 without comparing all pairs. First a node is compared with the least node of its smallest
 and of its largest signature, which already joins most groups. Then, while signatures
-hold several components, each component is compared with the least one. Pairs that are in
-different components after that are compared in full. Nothing is dropped: a pair is
-skipped only where its nodes are connected already.
+hold several components, members are compared with heads in rounds; see
+``components.link_groups``. Pairs that are in different components after that are
+compared in full, wherever sizes and a folded sketch of ``MARK_BITS`` bits, which are tested
+inside the join, do not rule a link out. Nothing is dropped: a pair is skipped only where
+its nodes are connected already or cannot be linked.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import chunks, own_names, packed
@@ -43,7 +45,7 @@ from sitewatch.operators.checkpoints import cut
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4  # Jaccard of 0.75
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: At most so many common shingles are put last; more would cost memory, fewer only time.
 COMMON = 1 << 18
 COMMON_SHARE = 2_000  # a task names shingles in more than 1 of so many of its documents
@@ -54,7 +56,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.uint64(0x94D049BB133111EB)
 _NOTHING = np.zeros(0, np.uint64)
-FIELDS = ["kind", "id", "key", "name", "n", "sketch"]
+FIELDS = ["kind", "id", "key", "name", "n", "sketch", "mark"]
+MARK_BITS = 512  # parities that are compared inside joins
+FRESH = 500_000  # shingles that a task counts at a time
 FILTER_BITS = 1 << 24  # of the bitmap of wanted ids; more ids only let more texts pass
 
 
@@ -181,6 +185,28 @@ def short_sketches(value: np.ndarray, start: np.ndarray) -> list[bytes]:
     return [packed[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
 
 
+def marks(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Parity sketches of ``MARK_BITS`` bits, one row of 64-bit integers per set."""
+    sizes = np.diff(start)
+    out = np.zeros((len(sizes), MARK_BITS // 64), np.int64)
+    for first in range(0, len(sizes), 4096):
+        some = sizes[first : first + 4096]
+        own = value[start[first] : start[first + len(some)]]
+        place = (own & np.uint64(MARK_BITS - 1)).astype(np.int64) + np.repeat(np.arange(len(some)) * MARK_BITS, some)
+        flips = np.bincount(place, minlength=len(some) * MARK_BITS) & 1
+        out[first : first + len(some)] = np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(some), -1)
+    return out
+
+
+def may_be_linked(one: str, other: str) -> Column:
+    """Sizes and marks of two nodes do not rule a link out; true for every linked pair."""
+    a, b = F.col(f"{one}.n"), F.col(f"{other}.n")
+    differing = F.lit(0)
+    for word in range(MARK_BITS // 64):
+        differing = differing + F.bit_count(F.col(f"{one}.w{word}").bitwiseXOR(F.col(f"{other}.w{word}")))
+    return (F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR) & (7 * differing <= a + b)
+
+
 def hamming(one: bytes, two: bytes) -> int:
     """Distance of two sketches; the longer is folded, which keeps its parities."""
     if len(one) > len(two):
@@ -210,11 +236,15 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         fresh: list[np.ndarray] = []
 
         def counted(held: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            joined = np.concatenate([held, *fresh])
-            weight = np.concatenate([count, *[np.ones(len(x), np.int64) for x in fresh]])
+            new, times = np.unique(np.concatenate([_NOTHING, *fresh]), return_counts=True)
             fresh.clear()
-            held, at = np.unique(joined, return_inverse=True)
-            return held, np.bincount(at, weights=weight, minlength=len(held)).astype(np.int64)
+            at = np.searchsorted(held, new)
+            known = np.zeros(len(new), bool)
+            known[at < len(held)] = held[at[at < len(held)]] == new[at < len(held)]
+            count[at[known]] += times[known]
+            joined = np.concatenate([held, new[~known]])
+            order = np.argsort(joined, kind="stable")
+            return joined[order], np.concatenate([count, times[~known]])[order]
 
         for batch in batches:
             for part in chunks(batch):
@@ -228,6 +258,7 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         pa.array(names),
                         pa.array(sizes),
                         pa.array(short_sketches(value, start), pa.binary()),
+                        pa.array(list(marks(value, start)), pa.list_(pa.int64())),
                     ],
                     FIELDS,
                 )
@@ -236,10 +267,11 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 seen = np.union1d(seen, names[once])
                 sets += len(once)
                 fresh.append(value[np.isin(np.repeat(np.arange(len(names)), sizes), once)])
-                if sum(map(len, fresh)) > 3_000_000:
+                if sum(map(len, fresh)) > FRESH:
                     held, count = counted(held, count)
-                    often = count > 1
-                    held, count = held[often], count[often]
+                    if len(held) > 4 * FRESH:
+                        often = count > 1
+                        held, count = held[often], count[often]
         held, count = counted(held, count)
         often = count >= max(3, sets // COMMON_SHARE)
         held, count = held[often], count[often]
@@ -251,11 +283,12 @@ def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 pa.array(held.view(np.int64)),
                 pa.array(count),
                 pa.nulls(len(held), pa.binary()),
+                pa.nulls(len(held), pa.list_(pa.int64())),
             ],
             FIELDS,
         )
 
-    return cut(source.mapInArrow(run, "kind byte, id long, key long, name long, n long, sketch binary"), "shingle_sets")
+    return cut(source.mapInArrow(run, "kind byte, id long, key long, name long, n long, sketch binary, mark array<long>"), "shingle_sets")
 
 
 def common_shingles(told: DataFrame) -> np.ndarray:
@@ -425,15 +458,17 @@ def grouped_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     nodes = (
         sets.where("n > 0")
         .groupBy(F.col("name").alias("node"))
-        .agg(F.min("key").alias("key"), F.max(F.struct("n", "sketch")).alias("s"))
+        .agg(F.min("key").alias("key"), F.max(F.struct("n", "sketch", "mark")).alias("s"))
         .join(members.select("node").distinct(), "node", "left_semi")
     )
-    nodes = cut(nodes.select("node", "key", "s.n", "s.sketch"), "near_nodes")
+    words = [F.col("s.mark")[word].alias(f"w{word}") for word in range(MARK_BITS // 64)]
+    nodes = cut(nodes.select("node", "key", "s.n", "s.sketch", *words), "near_nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verified(cut(alike(pairs, nodes), "near_pairs"), nodes, docs, doc_id, text)
 
-    links = link_groups(members, linked)
+    traits = nodes.select("node", "n", *[f"w{word}" for word in range(MARK_BITS // 64)])
+    links = link_groups(members, linked, traits, may_be_linked)
     known = components(links, "near_components").withColumnRenamed("node", "name")
     named = cut(
         sets.where("n > 0")

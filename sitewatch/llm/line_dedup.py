@@ -1,17 +1,19 @@
 """Near-copies of lines by a segment-partition edit join.
 
 Lines are equal in class if a chain of lines leads from one to the other in which
-neighbours differ by at most ``EDITS`` insertions, deletions or replacements of a
-character. A line is cut into EDITS + 1 segments; of two lines within the threshold one
+neighbours differ by few insertions, deletions or replacements of a character: by none if
+the shorter one has fewer than 10 characters, by one below 40, else by two (``allowed``).
+A line is cut into one segment more than that; of two lines within the threshold one
 holds a segment of the other unchanged, near the same place. So every line files its
 segments under its length, and probes the index of every length that it may match with
 those substrings only that can meet a segment (the length-aware choice by place). Lines
 under a common key are candidates, and a banded bit-parallel edit distance over five
-diagonals decides. Lines shorter than ``FUZZY_FROM`` characters count as copies only if
-they are equal, as few edits would make any of them alike.
+diagonals decides.
 
 Equal lines are one node. Within the lines of a key not all pairs are compared: see
-``components.link_groups``. In each class the first line stays, by document id and place.
+``components.link_groups``. Lengths and a parity sketch of the pairs of neighbouring
+characters, of which one edit changes four at most, are tested inside its joins. In each
+class the first line stays, by document id and place.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from sitewatch.llm.common import chunks, own_names, packed, text_or_empty
 from sitewatch.llm.components import components, link_groups
 from sitewatch.operators.checkpoints import cut
 
-EDITS = 2
-FUZZY_FROM = 40
+EDITS = 2  # the most that is allowed
+FUZZY_FROM, LONG_FROM = 10, 40  # shortest lines with one edit, and with two
+MARK_BITS = 128
 SPLITS = 64  # parts in which the lines of a frequent key are looked at first
 FREQUENT = 32  # lines of one chunk under one key
 FILTER_BITS = 1 << 24  # of the bitmap of wanted lines; more lines only let more pass
@@ -41,9 +44,14 @@ def line_name(line: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def allowed(length: int) -> int:
+    """Edits between two lines of which the shorter one has so many characters."""
+    return EDITS if length >= LONG_FROM else 1 if length >= FUZZY_FROM else 0
+
+
 def segments(length: int) -> list[tuple[int, int]]:
-    """(start, size) of EDITS + 1 segments whose sizes differ by one at most."""
-    parts = EDITS + 1
+    """(start, size) of one segment more than edits, whose sizes differ by one at most."""
+    parts = allowed(length) + 1
     small, longer = divmod(length, parts)
     sizes = [small + (i >= parts - longer) for i in range(parts)]
     return [(sum(sizes[:i]), sizes[i]) for i in range(parts)]
@@ -52,15 +60,17 @@ def segments(length: int) -> list[tuple[int, int]]:
 def probes(length: int) -> list[tuple[int, int, int, int]]:
     """(indexed length, segment, start, size) of all substrings that a line looks up.
 
-    A segment before which at most i edits happened and after which at most EDITS - i
-    did lies within these bounds of its place.
+    A segment before which at most i edits happened and after which at most the rest did
+    lies within these bounds of its place.
     """
     found = []
     for other in range(max(FUZZY_FROM, length - EDITS), length + 1):
-        more = length - other
+        more, edits = length - other, allowed(other)
+        if more > edits:
+            continue
         for i, (start, size) in enumerate(segments(other)):
-            low = max(0, start - i, start + more - (EDITS - i))
-            high = min(length - size, start + i, start + more + (EDITS - i))
+            low = max(0, start - i, start + more - (edits - i))
+            high = min(length - size, start + i, start + more + (edits - i))
             found += [(other, i, at, size) for at in range(low, high + 1)]
     return found
 
@@ -174,6 +184,26 @@ def shared_keys(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def line_marks(lines: list[str]) -> np.ndarray:
+    """Parities of the pairs of neighbouring characters, two 64-bit integers per line."""
+    sizes = np.array([len(line) for line in lines], np.int64)
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    inside = owner[1:] == owner[:-1]
+    pair = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:] * np.uint64(0xBF58476D1CE4E5B9)
+    place = ((pair ^ (pair >> np.uint64(29))) >> np.uint64(7)) % np.uint64(MARK_BITS)
+    flips = np.bincount(place.astype(np.int64)[inside] + owner[1:][inside] * MARK_BITS, minlength=len(lines) * MARK_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(lines), -1)
+
+
+def may_be_near(one: str, other: str) -> Column:
+    """Lengths and marks of two lines do not rule a link out; true for every linked pair."""
+    a, b = F.col(f"{one}.n"), F.col(f"{other}.n")
+    edits = F.when(F.least(a, b) >= LONG_FROM, F.lit(EDITS)).otherwise(F.lit(1))
+    differing = sum(F.bit_count(F.col(f"{one}.w{word}").bitwiseXOR(F.col(f"{other}.w{word}"))) for word in range(2))
+    return (F.abs(a - b) <= edits) & (differing <= 4 * edits)
+
+
 def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """``node, line`` of the nodes, written once; a bitmap of fixed size sorts out most others."""
     place = F.pmod("node", F.lit(FILTER_BITS))
@@ -196,11 +226,14 @@ def lines_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                 names = np.array([line_name(x.encode()) for x in lines], np.int64)
                 at = names % FILTER_BITS
                 asked = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
+                some = [lines[i] for i in asked]
+                mark = line_marks(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[asked]), pa.array([lines[i] for i in asked], pa.string())], ["node", "line"]
+                    [pa.array(names[asked]), pa.array(some, pa.string()), pa.array(mark[:, 0]), pa.array(mark[:, 1])],
+                    ["node", "line", "w0", "w1"],
                 )
 
-    found = source.mapInArrow(run, "node long, line string").join(nodes, "node", "left_semi")
+    found = source.mapInArrow(run, "node long, line string, w0 long, w1 long").join(nodes, "node", "left_semi")
     return cut(found.dropDuplicates(["node"]), "line_texts")
 
 
@@ -212,8 +245,9 @@ def within_edits(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "one"):
-                found = edit_distances(part.column("one").to_pylist(), part.column("two").to_pylist())
-                yield part.select(["a", "b"]).filter(pa.array(found <= EDITS))
+                ones, twos = part.column("one").to_pylist(), part.column("two").to_pylist()
+                most = np.array([allowed(min(len(x), len(y))) for x, y in zip(ones, twos, strict=True)], np.int64)
+                yield part.select(["a", "b"]).filter(pa.array(edit_distances(ones, twos) <= most))
 
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
@@ -238,7 +272,8 @@ def dropped_places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = cut(line_rows(docs, doc_id, text), "line_rows")
     members = cut(shared_keys(docs, text), "line_members")
     texts = lines_of(docs, members.select("node").distinct(), text)
-    links = link_groups(members, lambda pairs: within_edits(pairs, texts))
+    traits = texts.select("node", F.length("line").alias("n"), "w0", "w1")
+    links = link_groups(members, lambda pairs: within_edits(pairs, texts), traits, may_be_near)
     known = components(links, "line_components")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "place")
     nodes = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))

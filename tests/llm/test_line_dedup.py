@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sitewatch.llm import line_dedup
-from sitewatch.llm.line_dedup import EDITS, FUZZY_FROM, Keys, edit_distances
+from sitewatch.llm.line_dedup import EDITS, FUZZY_FROM, Keys, allowed, edit_distances, line_marks
 
 
 def distance(a, b):
@@ -38,13 +38,21 @@ def test_banded_distance(pairs):
         assert min(d, EDITS + 1) == min(distance(a, b), EDITS + 1)
 
 
-def test_lines_within_the_threshold_share_a_key():
+def test_lines_within_the_threshold_share_a_key_and_have_near_marks():
     rnd, keys = random.Random(2), Keys()
-    for _ in range(2500):
+    for _ in range(3000):
         line = "".join(rnd.choices("abc ", k=rnd.randint(FUZZY_FROM, 90)))
         other = edited(rnd, line, rnd.randint(0, EDITS))
-        if len(other) >= FUZZY_FROM:
+        most = allowed(min(len(line), len(other)))
+        if distance(line, other) <= most and min(len(line), len(other)) >= FUZZY_FROM:
             assert keys.of(line) & keys.of(other)
+            one, two = line_marks([line, other])
+            assert sum(((x ^ y) % 2**64).bit_count() for x, y in zip(one.tolist(), two.tolist(), strict=True)) <= 4 * most
+
+
+def test_short_lines_take_part(make, got):
+    rows = [(1, "All rights reserved."), (2, "All rights reserved"), (3, "all rights reserve"), (4, "short one"), (5, "short on")]
+    assert got(line_dedup.repeated_lines(make(rows)), "doc_id", "n_dropped") == [(1, 0), (2, 1), (3, 0), (4, 0), (5, 0)]
 
 
 def brute(rows):
@@ -59,7 +67,8 @@ def brute(rows):
     for x in range(len(told)):
         for y in range(x):
             a, b = told[x][2], told[y][2]
-            near = a == b or (min(len(a), len(b)) >= FUZZY_FROM and abs(len(a) - len(b)) <= EDITS and distance(a, b) <= EDITS)
+            most = 2 if min(len(a), len(b)) >= 40 else 1 if min(len(a), len(b)) >= 10 else 0
+            near = a == b or (abs(len(a) - len(b)) <= most and distance(a, b) <= most)
             if near and group[x] != group[y]:
                 old = group[x]
                 group = [group[y] if g == old else g for g in group]
