@@ -258,6 +258,42 @@ QUERIES = {
 }
 
 
+def _leading_axis(matrix: str) -> str:
+    """Unit eigenvector of the largest eigenvalue of the symmetric matrix in ``m`` of a one-row table.
+
+    The matrix is squared and scaled again and again, which leaves the outer product of the
+    vector with itself; its longest row gives the vector, whose largest entry is made positive.
+    """
+    return f"""
+WITH RECURSIVE powers AS (
+  SELECT 0 AS t, m FROM {matrix}
+  UNION ALL
+  SELECT t + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / list_max(list_transform(q, lambda s: list_max(list_transform(s, lambda y: abs(y)))))))
+  FROM (SELECT t, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS q FROM powers WHERE t < 24)),
+longest AS (SELECT r FROM (SELECT unnest(m) AS r FROM powers WHERE t = 24) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+largest AS (SELECT sign(max_by(y, abs(y))) AS g FROM (SELECT unnest(r) AS y FROM longest))
+SELECT list_transform(r, lambda x: x * g / sqrt(list_dot_product(r, r))) AS v FROM longest, largest"""
+
+
+AXES = {
+    "scaled": """
+SELECT site_id, feature, (value - avg(value) OVER w) /
+       (CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN stddev_pop(value) OVER w ELSE 1 END) AS value
+FROM filled WINDOW w AS (PARTITION BY feature)""",
+    "scaled_rows": "SELECT site_id, list(value ORDER BY feature) AS z FROM scaled GROUP BY site_id",
+    "scatter": """
+SELECT list(line ORDER BY i) AS m FROM (
+  SELECT i, list(c ORDER BY j) AS line FROM (
+    SELECT a.feature AS i, b.feature AS j, sum(a.value * b.value) AS c
+    FROM scaled a JOIN scaled b USING (site_id) GROUP BY 1, 2) GROUP BY i)""",
+    "axis_1": _leading_axis("scatter"),
+    "rest": """
+SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - v[i] * v[j]
+  * list_dot_product(v, list_transform(m, lambda s: list_dot_product(s, v))))) AS m FROM scatter, axis_1""",
+    "axis_2": _leading_axis("rest"),
+}
+
+
 def _stage(name: str, condition: str) -> str:
     return (
         f"SELECT '{name}' AS stage, count(*) AS n_rows, count(DISTINCT coalesce(site_id, '∅')) AS n_sites, "
@@ -368,6 +404,11 @@ SELECT site_id, feature,
        round((value - avg(value) OVER w) /
              (CASE WHEN stddev_pop(value) OVER w > 1e-12 THEN stddev_pop(value) OVER w ELSE 1 END), 6) + 0.0 AS value
 FROM filled WINDOW w AS (PARTITION BY feature)"""),
+    "embed_2d": sql(
+        "SELECT site_id, round(list_dot_product(z, axis_1.v), 4) + 0.0 AS umap_x, "
+        "round(list_dot_product(z, axis_2.v), 4) + 0.0 AS umap_y FROM scaled_rows, axis_1, axis_2",
+        AXES,
+    ),
     "feature_model": sql("""
 SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS position, feature,
        round(m, 6) AS median, round(a, 6) AS mean, round(s, 6) AS std

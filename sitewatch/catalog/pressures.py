@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.catalog.base import r, sql, sql_number
 from sitewatch.catalog.scoring import haversine_sql
-from sitewatch.constants import GRID_SQUARES
+from sitewatch.constants import GRID_SQUARES, LINEAR_SQUARES
 from sitewatch.fixtures import view
 from sitewatch.functions import geo
 from sitewatch.operators import feed, pressures, spatial
@@ -290,6 +290,13 @@ def georeference_linear(spark, sf):
     )
 
 
+def georeference_linear_table(spark, sf):
+    """With the table of letters that goes with the formula."""
+    return pressures.georeference_linear(_permits(spark, sf), "effluent_grid_ref", LINEAR_SQUARES).select(
+        "permit_number", "lat_approx", "lon_approx"
+    )
+
+
 def easting_northing_to_latlon(spark, sf):
     return pressures.easting_northing_to_latlon(_incidents(spark, sf).drop("lat", "lon")).select(
         "incident_id", r("lat"), r("lon")
@@ -467,6 +474,7 @@ QUERIES = {
     "merge_incidents": merge_incidents,
     "georeference_grid": georeference_grid,
     "georeference_linear": georeference_linear,
+    "georeference_linear_table": georeference_linear_table,
     "easting_northing_to_latlon": easting_northing_to_latlon,
     "fill_coordinates": fill_coordinates,
     "classify_discharges": classify_discharges,
@@ -482,7 +490,9 @@ QUERIES = {
 
 # --- SQL -----------------------------------------------------------------------------------
 
-_SQUARES = ", ".join(f"('{k}', {c}, {row})" for k, (c, row) in GRID_SQUARES.items())
+def _square_rows(squares: dict[str, tuple[int, int]]) -> str:
+    rows = ", ".join(f"('{k}', {c}, {row})" for k, (c, row) in squares.items())
+    return f"SELECT * FROM (VALUES {rows}) AS t(letters, cx, cy)"
 
 
 def _double(value: float) -> str:
@@ -534,7 +544,7 @@ FROM {prefix}_radii"""
     return ctes
 
 
-def _grid_sql(reference: str, source: str) -> str:
+def _grid_sql(reference: str, source: str, squares: str = "squares") -> str:
     return f"""
 SELECT s.*, CASE WHEN sq.letters IS NOT NULL THEN sq.cx * 100000.0 +
          TRY_CAST(substr(digits, 1, half) AS DOUBLE) * pow(10, 5 - half) END AS easting,
@@ -543,7 +553,7 @@ SELECT s.*, CASE WHEN sq.letters IS NOT NULL THEN sq.cx * 100000.0 +
 FROM (SELECT *, substr(upper(replace(trim({reference}), ' ', '')), 3) AS digits,
              CAST(length(substr(upper(replace(trim({reference}), ' ', '')), 3)) // 2 AS BIGINT) AS half,
              upper(substr(replace(trim({reference}), ' ', ''), 1, 2)) AS square
-      FROM {source}) s LEFT JOIN squares sq ON sq.letters = s.square"""
+      FROM {source}) s LEFT JOIN {squares} sq ON sq.letters = s.square"""
 
 
 def _box_pairs(points: str, radius: float, dlat: float, dlon: float, columns: str) -> str:
@@ -561,7 +571,8 @@ _IMPACT = "water_impact IN ('Category 1 (Major)', 'Category 2 (Significant)', 'C
 _NUM_SPILLS = sql_number("spill_count")
 
 CTES = {
-    "squares": f"SELECT * FROM (VALUES {_SQUARES}) AS t(letters, cx, cy)",
+    "squares": _square_rows(GRID_SQUARES),
+    "table_squares": _square_rows(LINEAR_SQUARES),
     "inc_pairs": _box_pairs(
         "fx_incidents", 2000, 0.02, 0.04, "b.incident_id, b.incident_date, b.pollutant_type"
     ),
@@ -635,6 +646,7 @@ FROM fx_discharges WHERE effluent_type IN ('SA', 'SB', 'SC', 'SD', 'SE', 'UA', '
                                            'TA', 'TB', 'TC', 'TD', 'TE', 'TF', 'TG')""",
     "gridded": _grid_sql("coalesce(effluent_grid_ref, discharge_ngr)", "fx_discharges"),
     "gridded_effluent": _grid_sql("effluent_grid_ref", "fx_discharges"),
+    "gridded_by_table": _grid_sql("effluent_grid_ref", "fx_discharges", "table_squares"),
     "classed_grid": _grid_sql("coalesce(effluent_grid_ref, discharge_ngr)", "classed"),
     "classed_located": "SELECT * FROM classed_grid WHERE easting IS NOT NULL",
     **_projection_ctes("classed_located", "dis_phi"),
@@ -824,6 +836,9 @@ FROM fx_sites s LEFT JOIN (SELECT * FROM pressure WHERE has_any_incidents) p USI
     "georeference_linear": _sql("""
 SELECT permit_number, round(49.0 + northing / 111000, 5) AS lat_approx,
        round(-8.0 + easting / (111000 * 0.6), 5) AS lon_approx FROM gridded_effluent"""),
+    "georeference_linear_table": _sql("""
+SELECT permit_number, round(49.0 + northing / 111000, 5) AS lat_approx,
+       round(-8.0 + easting / (111000 * 0.6), 5) AS lon_approx FROM gridded_by_table"""),
     "easting_northing_to_latlon": _sql("""
 SELECT incident_id, round(plat, 6) AS lat, round(plon, 6) AS lon FROM inc_phi_done"""),
     "fill_coordinates": _sql("""

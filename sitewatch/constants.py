@@ -198,6 +198,21 @@ GRID_SQUARES = {
     "OV": (7, 5),
 }
 
+# --- fixed values: squares that go with the linear approximation (letters -> column, row) ---
+LINEAR_SQUARES = {
+    "SV": (0, 0), "SW": (1, 0), "SX": (2, 0), "SY": (3, 0), "SZ": (4, 0), "TV": (5, 0), "TW": (6, 0),
+    "SR": (1, 1), "SS": (2, 1), "ST": (3, 1), "SU": (4, 1),
+    "SP": (4, 2), "TL": (5, 2), "TM": (6, 2), "SO": (3, 2), "SN": (2, 2), "SM": (1, 2),
+    "SK": (4, 3), "TF": (5, 3), "TG": (6, 3), "SJ": (3, 3), "SH": (2, 3), "SG": (1, 3),
+    "SE": (4, 4), "TA": (5, 4), "SD": (3, 4), "SC": (2, 4), "SB": (1, 4),
+    "NZ": (4, 5), "OV": (5, 5), "NY": (3, 5), "NX": (2, 5), "NW": (1, 5),
+    "NT": (4, 6), "NU": (5, 6), "NS": (3, 6), "NR": (2, 6), "NQ": (1, 6),
+    "NN": (3, 7), "NO": (4, 7), "NM": (2, 7), "NL": (1, 7),
+    "NH": (2, 8), "NJ": (3, 8), "NK": (4, 8), "NG": (1, 8), "NF": (0, 8),
+    "NC": (2, 9), "ND": (3, 9), "NB": (1, 9), "NA": (0, 9),
+    "HW": (1, 10), "HX": (2, 10), "HY": (3, 10), "HZ": (4, 10), "HP": (4, 11), "HT": (3, 11), "HU": (4, 11),
+}
+
 # --- fixed values: earth radii (metres, kilometres) --------------------------
 EARTH_RADIUS_M = 6_371_000.0
 EARTH_RADIUS_KM = 6371.0

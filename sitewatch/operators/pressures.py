@@ -13,12 +13,15 @@ from sitewatch.functions.text import blank_to_null, without_first
 # --- grid references ------------------------------------------------------------
 
 
-def _grid_parts(reference: Column) -> tuple[Column, Column]:
+Squares = dict[str, tuple[int, int]]
+
+
+def _grid_parts(reference: Column, squares: Squares) -> tuple[Column, Column]:
     """Easting and northing of "AB 123 456"; anything malformed gives null."""
     compact = F.upper(F.replace(F.trim(reference), F.lit(" "), F.lit("")))
     digits = without_first(compact, 2)
     half = F.length(digits) / 2
-    square = F.try_element_at(_square_map(), F.substring(compact, 1, 2))
+    square = F.try_element_at(_square_map(squares), F.substring(compact, 1, 2))
     valid = compact.rlike("^[A-Z]{2}([0-9]{2}){1,}$") & square.isNotNull()
     scale = F.pow(F.lit(10.0), 5 - half)
 
@@ -29,9 +32,9 @@ def _grid_parts(reference: Column) -> tuple[Column, Column]:
     return metres("column", F.lit(1)), metres("row", half.cast("int") + 1)
 
 
-def _square_map() -> Column:
+def _square_map(squares: Squares) -> Column:
     entries = []
-    for letters, (column, row) in C.GRID_SQUARES.items():
+    for letters, (column, row) in squares.items():
         entries += [
             F.lit(letters),
             F.struct(F.lit(float(column)).alias("column"), F.lit(float(row)).alias("row")),
@@ -39,20 +42,26 @@ def _square_map() -> Column:
     return F.create_map(*entries)
 
 
-def georeference_grid(df: DataFrame, column: str, fallback: str | None = None) -> DataFrame:
+def georeference_grid(
+    df: DataFrame, column: str, fallback: str | None = None, squares: Squares = C.GRID_SQUARES
+) -> DataFrame:
     """Add ``easting`` and ``northing`` from a grid reference column.
 
     With ``fallback`` that column serves where the first is null. Unreadable
     references give null; callers that need a location drop them.
     """
     reference = F.col(column) if fallback is None else F.coalesce(column, fallback)
-    easting, northing = _grid_parts(reference)
+    easting, northing = _grid_parts(reference, squares)
     return df.withColumn("easting", easting).withColumn("northing", northing)
 
 
-def georeference_linear(df: DataFrame, column: str) -> DataFrame:
-    """Parity mode: ``lat_approx, lon_approx`` by the straight-line formula."""
-    easting, northing = _grid_parts(F.col(column))
+def georeference_linear(df: DataFrame, column: str, squares: Squares = C.GRID_SQUARES) -> DataFrame:
+    """Parity mode: ``lat_approx, lon_approx`` by the straight-line formula.
+
+    ``squares`` says which letters stand for which square; ``C.LINEAR_SQUARES`` is the table
+    that published approximate places were made with, which differs for some letters.
+    """
+    easting, northing = _grid_parts(F.col(column), squares)
     lat, lon = geo.linear_grid_to_latlon(easting, northing)
     return df.withColumn("lat_approx", lat).withColumn("lon_approx", lon)
 
