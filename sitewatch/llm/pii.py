@@ -30,7 +30,7 @@ ROUNDS = 8
 DEFAULT_KEY = "set a key of your own"
 DAYS = (189, 773)  # factors of the days in 400 years
 FIRST_DAY = "1800-01-01"
-WALK = 48  # repeated permutations at most; 2 of 5 days of a month are below 13
+WALK = 96  # repeated permutations; with 2 of 5 days below 13, more are needed once in 10^21 dates
 # Patterns of candidates, in the order in which they are tried at a place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
 # Countries by the length of their account numbers.
@@ -53,7 +53,7 @@ ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 SECRET = r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}\b|\b(?=[0-9A-F]*\d)(?=[0-9A-F]*[A-F])[0-9A-F]{32,128}\b"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,7}|\d{6}\1\d{5}))(?![\d-])"
 TAX = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}[ .-]\d{4}\b|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 KINDS = {
     "email": EMAIL,
     "iban": IBAN,
@@ -218,18 +218,28 @@ def valid_date(value: Column, kind: str) -> Column:
     return _is(value, kind) & F.coalesce(_days(value, kind).between(0, DAYS[0] * DAYS[1] - 1), F.lit(False))
 
 
+def _put_back(value: Column, new: Column, kept: str) -> Column:
+    """The characters ``new`` in place of those of ``value`` that match, with all others between."""
+    return F.array_join(
+        F.zip_with(F.split(value, kept), F.split(new, ""), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), ""
+    )
+
+
 def _new_card(value: Column, key: str) -> Column:
-    body = F.substr(value, F.lit(1), F.length(value) - 1)
-    new = permute_text(body, f"{key}|card", letters=False)
-    check = (F.lit(10) - luhn_sum(F.concat(_digits(new), F.lit("0"))) % 10) % 10
-    return F.concat(new, check.cast("string"))
+    """The digits permuted as one number, so spellings of one card stay linked; a new check digit."""
+    digits = _digits(value)
+    new = permute_text(F.substr(digits, F.lit(1), F.length(digits) - 1), f"{key}|card", letters=False)
+    check = (F.lit(10) - luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10
+    return _put_back(value, F.concat(new, check.cast("string")), "[0-9]")
 
 
 def _new_iban(value: Column, key: str) -> Column:
-    country = F.substr(value, F.lit(1), F.lit(2))
-    new = permute_text(F.substr(value, F.lit(5), F.length(value)), f"{key}|iban", letters=True)
-    check = F.lit(98) - remainder_97(F.concat(F.regexp_replace(new, " ", ""), country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+    """All behind the check digits permuted without its spaces; country kept, new check digits."""
+    plain = F.regexp_replace(value, " ", "")
+    country = F.substr(plain, F.lit(1), F.lit(2))
+    new = permute_text(F.substr(plain, F.lit(5), F.length(plain)), f"{key}|iban", letters=True)
+    check = F.lit(98) - remainder_97(F.concat(new, country, F.lit("00")))
+    return _put_back(value, F.concat(country, F.lpad(check.cast("string"), 2, "0"), new), "[A-Z0-9]")
 
 
 def _new_address(value: Column, key: str) -> Column:
@@ -243,14 +253,14 @@ def _new_date(value: Column, kind: str, key: str) -> Column:
     days = _days(value, kind)
     again = lambda one, two: permute_pair(one, two, DAYS, f"{key}|date")
     dated = lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
-    done = again(F.floor(days / DAYS[1]), days % DAYS[1])
-    if kind == "day_first":
-        # A date with the month first stays one that cannot be read with the day first.
-        walk = F.aggregate(
-            F.sequence(F.lit(1), F.lit(WALK)), done, lambda p, _: F.when(F.dayofmonth(dated(p)) > 12, p).otherwise(again(p["l"], p["r"]))
-        )
-        month_first = F.try_to_date(F.regexp_replace(value, "/", "."), "d.M.yyyy").isNull()
-        done = F.when(month_first, walk).otherwise(done)
+    # Days above 12 go to such days and others to others, for every spelling alike: so a date
+    # with the month first stays one that cannot be read with the day first.
+    late = F.dayofmonth(_as_date(value, kind)) > 12
+    start = again(F.floor(days / DAYS[1]), days % DAYS[1])
+    done = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), start, lambda p, _: F.when((F.dayofmonth(dated(p)) > 12) == late, p).otherwise(again(p["l"], p["r"]))
+    )
+    month_first = F.try_to_date(F.regexp_replace(value, "/", "."), "d.M.yyyy").isNull()
     date = dated(done)
     if kind == "iso_date":
         return F.date_format(date, "yyyy-MM-dd")
@@ -289,10 +299,7 @@ def _new_phone(value: Column, key: str) -> Column:
 
 def _in_place(value: Column, key: str) -> Column:
     """The digits permuted as one number, whatever stands between them, and put back."""
-    new = permute_text(_digits(value), key, letters=False)
-    return F.array_join(
-        F.zip_with(F.split(value, "[0-9]"), F.split(new, ""), lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), ""
-    )
+    return _put_back(value, permute_text(_digits(value), key, letters=False), "[0-9]")
 
 
 def _new_email(value: Column, key: str) -> Column:

@@ -1,3 +1,4 @@
+import datetime
 import re
 
 import pytest
@@ -106,3 +107,38 @@ def test_nulls_repeated_rows_long_and_empty(make):
     told = next(r["text"] for r in out if r["doc_id"] == 3)
     assert len(told) == len(long) and told[:300_001] == long[:300_001]
     assert pii.pseudonymised(make([])).count() == 0
+
+
+def test_spellings_of_one_value_stay_linked(make):
+    rows = [
+        (1, "4111 1111 1111 1111"), (2, "4111-1111-1111-1111"), (3, "4111111111111111"),
+        (4, "GB82WEST12345698765432"), (5, "GB82 WEST 1234 5698 7654 32"),
+        (6, "1990-12-25"), (7, "25.12.1990"), (8, "12/25/1990"), (9, "25 December 1990"), (10, "Dec 25, 1990"),
+        (11, "1990-12-05"), (12, "5.12.1990"), (13, "December 5th, 1990"), (14, "call +44 20 7946 0958 now"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["kinds"]) for r in pii.pseudonymised(make(rows), "k").collect()}
+    assert all(kinds for _, kinds in got.values())
+    plain = {i: re.sub("[ -]", "", got[i][0]) for i in range(1, 6)}
+    assert len({plain[1], plain[2], plain[3]}) == 1 and plain[4] == plain[5]
+    assert plain[1] != "4111111111111111" and got[2][0][4] == "-" and got[5][0][:2] == "GB" and got[5][0][4] == " "
+
+    def day(i):
+        text = re.sub(r"(?<=\d)(st|nd|rd|th)", "", got[i][0])
+        for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d %B %Y", "%b %d, %Y", "%B %d, %Y"):
+            try:
+                return datetime.datetime.strptime(text, form).date()
+            except ValueError:
+                pass
+        raise AssertionError(text)
+
+    assert len({day(i) for i in range(6, 11)}) == 1 and day(6) != datetime.date(1990, 12, 25) and day(6).day > 12
+    assert len({day(i) for i in range(11, 14)}) == 1 and day(11).day <= 12
+    assert "7946" not in got[14][0]
+
+
+def test_dates_are_permuted_within_their_class(spark, make):
+    first = datetime.date(2001, 1, 1)
+    days = [first + datetime.timedelta(d) for d in range(400)]
+    got = [r["text"] for r in pii.pseudonymised(make([(i, d.isoformat()) for i, d in enumerate(days)]), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(days)
+    assert all((int(g[8:]) > 12) == (d.day > 12) for g, d in zip(got, days, strict=True))
