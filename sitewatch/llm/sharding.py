@@ -7,6 +7,9 @@ capacity; keys that found their shard full continue clockwise to the next virtua
 whose shard has room. Capacities add up to the number of rows and differ by one at most,
 so the law ``rows`` holds: counts are at most one apart.
 
+With one more shard, capacities shrink evenly: its nodes take their arcs, and keys beyond the
+smaller capacities move on; other keys stay where they are.
+
 Spark counts the keys per cell. That table has at most ``CELLS`` rows whatever the input,
 so the walk around the ring runs over it on the driver; it yields ranges of ranks, and
 Spark assigns the keys by their rank in their cell. A cell holds 1/65,536 of the rows.
@@ -26,12 +29,17 @@ CELLS = 65_536
 
 
 def virtual_nodes(spark: SparkSession, shards: int, per_shard: int) -> list[tuple[int, int]]:
-    """(cell, shard) around the ring; a cell that several nodes hit goes to the first shard."""
+    """(cell, shard) around the ring; a cell that several nodes hit goes to the first shard.
+
+    A node's place depends on its shard and its number there, not on how many shards there
+    are: one more shard adds nodes and moves none.
+    """
+    shard, number = F.floor(F.col("id") / per_shard).cast("int"), F.col("id") % per_shard
     nodes = (
         spark.range(shards * per_shard)
         .select(
-            F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit("node")), 48).cast("int").alias("cell"),
-            F.pmod("id", F.lit(shards)).cast("int").alias("shard"),
+            F.shiftrightunsigned(F.xxhash64(shard, number, F.lit("node")), 48).cast("int").alias("cell"),
+            shard.alias("shard"),
         )
         .groupBy("cell")
         .agg(F.min("shard").alias("shard"))

@@ -109,3 +109,14 @@ def test_most_keys_stay_at_home_and_empty_table(make):
     out = sharding.ring_shards(make([(i, "x") for i in range(2000)])).collect()
     assert sum(r["shard"] == r["home_shard"] for r in out) > 0.8 * len(out)
     assert sharding.ring_shards(make([])).count() == 0
+
+
+def test_one_more_shard_moves_few_rows(spark, make):
+    nodes = [dict(sharding.virtual_nodes(spark, n, 128)) for n in (16, 17)]
+    assert all(nodes[1][cell] == shard or nodes[1][cell] == 16 for cell, shard in nodes[0].items())
+    df = make([(i, f"text {i}") for i in range(4000)])
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.ring_shards(df, n).collect()} for n in (16, 17))
+    moved = [i for i in before if before[i] != after[i]]
+    to_old = [i for i in moved if after[i] != 16]
+    # The new shard needs 1/17 of the rows; beside them only keys of full shards move on.
+    assert len(moved) - len(to_old) in (235, 236) and len(to_old) < 0.05 * len(before)
