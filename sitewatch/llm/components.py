@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.skew import split_hot_join
 
+#: Pairs a member that are compared at last without further rounds; sizes and marks rule most out.
+PAIRS = 100
 #: Rounds end when one finds less than this part of what the one before found.
 SHRINKING = 4
 #: Members of one signature that a task compares with others.
@@ -76,30 +78,40 @@ def link_groups(
     ever written. ``linked`` returns the pairs ``a, b`` that are links.
 
     In every round each open signature has another member as its head, and all members of
-    other components are compared with it. Rounds go on while they find a good part of what
-    the round before found; then all pairs of one signature that are still in different
-    components are compared. At the end every pair of one signature has been asked, ruled
-    out, or lies in one component.
+    other components are compared with it. Rounds go on while more than ``PAIRS`` pairs a
+    member are left and a round finds a good part of what the one before found; then all
+    pairs of one signature that are still in different components are compared. At the end
+    every pair of one signature has been asked, ruled out, or lies in one component.
     """
     links = cut(linked(_first_pairs(members)), "links")
     named = [c for c in traits.columns if c != "node"]
     open_ones = _labelled(members, links)
     open_ones = open_ones.join(traits.select("node", F.struct(*named).alias("trait")), "node")
     found, round_no = None, 0
-    while found is None or found:
+    while True:
         open_ones = cut(open_ones, "group_open")
+        if round_no and _few_left(open_ones):
+            break
         fresh = cut(linked(_head_pairs(open_ones, near, round_no)), "links_of_round")
         before, found = found, fresh.count()
-        if not found:
-            break
-        links = cut(links.unionByName(fresh), "links")
-        open_ones = _labelled(open_ones.drop("component"), links)
-        if before is not None and found * SHRINKING < before:
+        if found:
+            links = cut(links.unionByName(fresh), "links")
+            open_ones = _labelled(open_ones.drop("component"), links)
+        if not found or (before is not None and found * SHRINKING < before):
             break
         round_no += 1
     return cut(links.unionByName(linked(_remaining_pairs(open_ones, near))), "links")
 
 
+def _few_left(open_ones: DataFrame) -> bool:
+    """Whether the pairs that are left to compare are at most ``PAIRS`` a member."""
+    sizes = open_ones.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n"))
+    held = sizes.groupBy("signature").agg(F.sum("n").alias("all"), F.max("n").alias("largest"))
+    left = (F.col("all") - F.col("largest")).cast("double") * F.col("all")
+    row = held.agg(F.sum(left).alias("pairs"), F.sum("all").alias("members")).first()
+    return (row["pairs"] or 0) <= PAIRS * (row["members"] or 0)
+
+
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of signatures that several components share, with their component."""
     known = components(links, "group_components")

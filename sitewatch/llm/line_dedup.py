@@ -193,7 +193,7 @@ def line_marks(lines: list[str]) -> np.ndarray:
     pair = code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:] * np.uint64(0xBF58476D1CE4E5B9)
     place = ((pair ^ (pair >> np.uint64(29))) >> np.uint64(7)) % np.uint64(MARK_BITS)
     flips = np.bincount(place.astype(np.int64)[inside] + owner[1:][inside] * MARK_BITS, minlength=len(lines) * MARK_BITS) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(lines), -1)
+    return np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(len(lines), MARK_BITS // 64)
 
 
 def may_be_near(one: str, other: str) -> Column:
