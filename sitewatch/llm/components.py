@@ -11,7 +11,7 @@ from sitewatch.operators.checkpoints import cut
 from sitewatch.operators.skew import split_hot_join
 
 #: Pairs a member that are compared at last without further rounds; sizes and marks rule most out.
-PAIRS = 100
+PAIRS = 1_000
 #: Rounds end when one finds less than this part of what the one before found.
 SHRINKING = 4
 #: Members of one signature that a task compares with others.
